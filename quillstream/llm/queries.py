@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 from .runtime import read_table
 
 
@@ -12,5 +12,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assignments(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assignments(spark, read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op9_mixing": op9_mixing}
 ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql()}
