@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, license_scan, mixing
 from .runtime import read_table
 
 
@@ -16,5 +16,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assignments(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op9_mixing": op9_mixing}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_license_scan": op7_license_scan, "op9_mixing": op9_mixing}
 ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql()}
