@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing
+from . import chat_format, exact_dedup, license_scan, mixing
 from .runtime import read_table
 
 
@@ -20,5 +20,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_license_scan": op7_license_scan, "op9_mixing": op9_mixing}
-ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql()}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat_format.PLANTED, "conv_id bigint, turn bigint, role string, text string"))
+    return chat_format.read_back(spark, chat_format.format_conversations(spark, rows))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing}
+ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql(), "op8_chat_format": chat_format.ORACLE}
