@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, kdtree_topk, license_scan, mixing
-from .runtime import read_table
+from . import bpe, chat_format, exact_dedup, kdtree_topk, license_scan, mixing
+from .runtime import read_table, tokenizer_path
+
+BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree_topk.top_k(spark, read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark, read_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, read_table(spark, sf_dir, "documents"))
 
@@ -31,5 +37,5 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(spark, chat_format.format_conversations(spark, rows))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_kdtree_topk": op5_kdtree_topk, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_kdtree_topk": op5_kdtree_topk, "op6_bpe": op6_bpe, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing}
 ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql(), "op5_kdtree_topk": kdtree_topk.ORACLE, "op8_chat_format": chat_format.ORACLE}

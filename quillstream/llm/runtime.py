@@ -61,5 +61,6 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def path_join(*parts: str) -> str:
-    return os.path.join(*parts)
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; QUILLSTREAM_TOKENIZERS names another folder."""
+    return os.path.join(os.environ.get("QUILLSTREAM_TOKENIZERS", "/opt/tokenizers"), name)
