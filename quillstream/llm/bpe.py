@@ -226,14 +226,14 @@ def worker_codec(shared) -> Codec:
     return _codecs[key]
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Slices of a batch with a bounded number of characters (one text at least): first row and texts."""
+def text_batches(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000, most_rows: int = 10_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Slices of a batch with a bounded number of characters and rows (one text at least): first row and texts."""
     texts: list[str | None] = []
     first, chars = 0, 0
     values = batch.column(column)
     for i in range(batch.num_rows):
         text = values[i].as_py()
-        if texts and chars + len(text or "") > most_chars:
+        if texts and (chars + len(text or "") > most_chars or len(texts) == most_rows):
             yield first, texts
             first, texts, chars = i, [], 0
         texts.append(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, html_crf, kdtree_topk, license_scan, mixing, packing, pu_quality
+from . import bpe, chat_format, dart_minhash, exact_dedup, html_crf, kdtree_topk, license_scan, mixing, packing, pu_quality
 from .runtime import read_table, tokenizer_path
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
@@ -49,5 +49,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(spark, chat_format.format_conversations(spark, rows))
 
 
-QUERIES = {"op1_html_crf": op1_html_crf, "op2_exact_dedup": op2_exact_dedup, "op3_pu_quality": op3_pu_quality, "op4_packing": op4_packing, "op5_kdtree_topk": op5_kdtree_topk, "op6_bpe": op6_bpe, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicate_classes(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_html_crf": op1_html_crf, "op2_exact_dedup": op2_exact_dedup, "op3_pu_quality": op3_pu_quality, "op4_packing": op4_packing, "op5_kdtree_topk": op5_kdtree_topk, "op6_bpe": op6_bpe, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing, "op10_dart_minhash": op10_dart_minhash}
 ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql(), "op5_kdtree_topk": kdtree_topk.ORACLE, "op8_chat_format": chat_format.ORACLE}
