@@ -1,6 +1,6 @@
 """Token ids packed into matrices: best-fit-decreasing with a segment tree over capacities.
 
-Texts are encoded and cut, losslessly, into pieces of at most ``seq_len`` tokens;
+Texts are encoded (special tokens' strings are ordinary text) and cut, losslessly, into pieces of at most ``seq_len`` tokens;
 only the last piece of a text can be shorter. Full pieces fill a row of their own.
 The others are gathered over a window of ``WINDOW_TOKENS`` tokens of a partition
 and packed longest first, each into the row with the least room that still holds
@@ -21,15 +21,17 @@ come; null ids are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, text_batches, worker_codec
+from .bpe import PATTERN, text_batches
 from .runtime import ship_package
 
 SEQ_LEN = 2048
@@ -87,6 +89,23 @@ def best_fit_decreasing(lengths: list[int], seq_len: int) -> list[list[int]]:
     return rows
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A byte-level vocabulary: per line a token in base64 and its id."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+
+
+_encodings: dict[int, tiktoken.Encoding] = {}
+
+
+def _worker_encoding(shared) -> tiktoken.Encoding:
+    key = id(shared.value)
+    if key not in _encodings:
+        _encodings.clear()
+        _encodings[key] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+    return _encodings[key]
+
+
 PACKED = (
     "shard int, row bigint, n_tokens int, doc_ids array<bigint>, pieces array<int>, "
     "cu_seqlens array<int>, position_resets array<int>, ids binary"
@@ -121,15 +140,15 @@ def _rows(packed: Iterator[list[Piece]], shard: int, seq_len: int, dtype: str, s
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, seq_len: int = SEQ_LEN, window: int = WINDOW_TOKENS) -> DataFrame:
-    """Packed rows of the ids of docs (doc_id, text), tokenised with the file at path."""
+    """Packed rows of the ids of docs (doc_id, text), tokenised with the ranks file at path."""
     ship_package(spark)
-    vocabulary = Vocabulary(path)
-    dtype = "<u2" if len(vocabulary) <= 2**16 else "<u4"
-    shared = spark.sparkContext.broadcast(vocabulary)
+    ranks = read_ranks(path)
+    dtype = "<u2" if max(ranks.values()) < 2**16 else "<u4"
+    shared = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(shared)
+        encode = _worker_encoding(shared).encode_to_numpy
 
         def packed() -> Iterator[list[Piece]]:
             waiting: list[Piece] = []
@@ -142,8 +161,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, seq_len: int = SEQ_LEN
             for b in batches:
                 for first, texts in text_batches(b, "text"):
                     ids = b.column("doc_id").slice(first, len(texts)).to_pylist()
-                    for doc, x in zip(ids, codec.encode_batch(texts), strict=True):
-                        x = x.astype(dtype)
+                    for doc, text in zip(ids, texts, strict=True):
+                        x = encode(text or "", disallowed_special=()).astype(dtype)
                         whole = len(x) // seq_len
                         for k in range(whole):
                             yield [(doc, k, x[k * seq_len : (k + 1) * seq_len])]

@@ -9,6 +9,7 @@ from . import bpe, chat_format, dart_minhash, exact_dedup, html_crf, kdtree_topk
 from .runtime import read_table, tokenizer_path
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
+BYTE_BPE_RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
 
 
 def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, read_table(spark, sf_dir, "documents"), BYTE_BPE)
+    return packing.pack(spark, read_table(spark, sf_dir, "documents"), BYTE_BPE_RANKS)
 
 
 def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
