@@ -37,6 +37,8 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 HIDDEN = 24
 EPOCHS = 60
+#: Characters that a worker looks at together.
+SLICE = 1_000_000
 BATCH = 512
 
 # Fixed value: groups of bytes whose shares are features.
@@ -80,10 +82,8 @@ def features(texts: list[str | None]) -> np.ndarray:
     """A row of statistics for each text."""
     raw = [(t or "").encode() for t in texts]
     sizes = np.array([len(r) for r in raw])
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    groups = _GROUP_OF[np.frombuffer(b"".join(raw), np.uint8)]
     n = len(BYTE_GROUPS) + 1
-    counts = np.bincount(owner * n + groups, minlength=len(raw) * n).reshape(len(raw), n)[:, :-1]
+    counts = np.array([np.bincount(_GROUP_OF[np.frombuffer(r, np.uint8)], minlength=n) for r in raw]).reshape(len(raw), n)[:, :-1]
     shares = counts / np.maximum(1, sizes)[:, None]
     words = np.array([_statistics(t or "") for t in texts], dtype=np.float64).reshape(len(texts), 9)
     return np.hstack([np.log1p(200 * shares), words]).astype(np.float32)
@@ -150,7 +150,7 @@ def _run_features(spark: SparkSession, rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_batches(batch, "text"):
+            for first, texts in text_batches(batch, "text", SLICE):
                 f = features(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * N_FEATURES, pa.int32()), pa.array(f.ravel(), pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, len(texts)), lists], ["h", "f"])
@@ -160,6 +160,11 @@ def _run_features(spark: SparkSession, rows: DataFrame) -> np.ndarray:
     return np.array([r["f"] for r in sorted(got)], dtype=np.float32).reshape(-1, N_FEATURES)
 
 
+def _at_most(rows: DataFrame, most: int) -> DataFrame:
+    """rows, or so many of them where one id is repeated very often."""
+    return rows if rows.select("id").count() <= most else rows.limit(most)
+
+
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Model | None, float]:
     """(model, prior) from docs (doc_id, text) and labels (doc_id, quality) of the training folds."""
     ship_package(spark)
@@ -173,10 +178,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: i
     trusted = known.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct().orderBy(hashed, "id").limit(train_rows)
     fold = docs.select(F.col("doc_id").alias("id"), "text").filter(_train_fold(F.col("id")))
     # At most train_rows ids, so their size is bounded.
-    positive = _run_features(spark, fold.join(F.broadcast(trusted), "id").limit(2 * train_rows))
+    positive = _run_features(spark, _at_most(fold.join(F.broadcast(trusted), "id"), 2 * train_rows))
     share = min(1.0, train_rows / max(1, fold.select("id").count()))
     chosen = fold.filter((F.shiftrightunsigned(hashed, 11).cast("double") / 2.0**53) < share)
-    unlabelled = _run_features(spark, chosen.limit(2 * train_rows))
+    unlabelled = _run_features(spark, _at_most(chosen, 2 * train_rows))
     if not len(positive) or not len(unlabelled):
         return None, prior
     return fit(positive, unlabelled, prior), prior
@@ -192,7 +197,7 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in text_batches(b, "text"):
+            for first, texts in text_batches(b, "text", SLICE):
                 score = _score(texts, model, prior)
                 ids = b.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -208,7 +213,7 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = pa.RecordBatch.from_arrays([b.column("rec").field("text")], ["text"])
-            for first, texts in text_batches(own, "text"):
+            for first, texts in text_batches(own, "text", SLICE):
                 keep = pa.array(_score(texts, model, prior) >= THRESHOLD)
                 yield b.slice(first, len(texts)).filter(keep)
 
