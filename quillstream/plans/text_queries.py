@@ -175,25 +175,22 @@ def vtt_parse(spark, sf_dir):
 
 
 def rolling_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling captions from documents: each word run of up to 12 words is shown growing by words, then shrunk."""
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 24)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("video_id"), words.alias("w"))
-    cue = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 1),
-        lambda i: F.struct(i.alias("seg_idx"), F.array_join(F.slice("w", (F.floor(i / 6) * 6 + 1).cast("int"), (F.abs(i % 6 - 1) + 1).cast("int")), " ").alias("text")),
-    )
-    cues = rows.select("video_id", F.explode(cue).alias("c")).select("video_id", "c.seg_idx", "c.text")
-    start = F.col("seg_idx").cast("double")
-    return cues.select("video_id", "seg_idx", start.alias("start"), (start + 1.5).alias("end"), "text")
-
-
-_ROLLING = """
-WITH d AS (SELECT doc_id::VARCHAR AS video_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:24] AS w FROM documents),
-c AS (SELECT video_id, list_transform(range(len(w)), lambda i: {'t': array_to_string(w[(i // 6 * 6 + 1):(i // 6 * 6 + abs(i % 6 - 1) + 1)], ' '),
-        's': i::DOUBLE, 'e': i::DOUBLE + 1.5::DOUBLE}) AS cues FROM d),
+    """Rolling captions from documents: every line is shown by half, then whole, then by half again."""
+    half = F.left("text", F.ceil(F.length("text") / 2).cast("int"))
+    shown = F.posexplode(F.array(half, F.col("text"), half)).alias("k", "shown")
+    cues = segments(spark, sf_dir).select("video_id", "seg_idx", shown)
+    number = F.col("seg_idx") * 3 + F.col("k")
+    start = number.cast("double")
+    return cues.select("video_id", number.alias("seg_idx"), start.alias("start"), (start + 1.5).alias("end"), F.col("shown").alias("text"))
+
+
+_ROLLING = f"""
+WITH {SEG}, h AS (SELECT video_id, seg_idx, text, left(text, ceil(length(text) / 2.0)::INTEGER) AS half FROM seg),
+q AS (SELECT video_id, unnest([{{'n': seg_idx * 3, 't': half}}, {{'n': seg_idx * 3 + 1, 't': text}}, {{'n': seg_idx * 3 + 2, 't': half}}]) AS c FROM h),
+c AS (SELECT video_id, list({{'t': c.t, 's': c.n::DOUBLE, 'e': c.n::DOUBLE + 1.5::DOUBLE}} ORDER BY c.n) AS cues FROM q GROUP BY 1),
 f AS (SELECT video_id, list_reduce(list_transform(cues, lambda q: [q]), lambda acc, one:
-    CASE WHEN starts_with(one[1].t, acc[-1].t) THEN list_append(acc[:-2], {'t': one[1].t, 's': acc[-1].s, 'e': one[1].e})
-         WHEN starts_with(acc[-1].t, one[1].t) THEN list_append(acc[:-2], {'t': acc[-1].t, 's': acc[-1].s, 'e': greatest(acc[-1].e, one[1].e)})
+    CASE WHEN starts_with(one[1].t, acc[-1].t) THEN list_append(acc[:-2], {{'t': one[1].t, 's': acc[-1].s, 'e': one[1].e}})
+         WHEN starts_with(acc[-1].t, one[1].t) THEN list_append(acc[:-2], {{'t': acc[-1].t, 's': acc[-1].s, 'e': greatest(acc[-1].e, one[1].e)}})
          ELSE list_append(acc, one[1]) END) AS kept FROM c)
 SELECT video_id, (unnest(range(len(kept))))::INTEGER AS seg_idx, unnest(kept).s AS "start", unnest(kept).e AS "end", unnest(kept).t AS text FROM f
 """
@@ -252,12 +249,12 @@ def url_reject_reason(spark, sf_dir):
 
 @query(
     "valid_id",
-    """SELECT doc_id, w AS candidate, regexp_full_match(w, '[A-Za-z0-9_-]{11}') AS valid
-    FROM (SELECT doc_id, unnest(string_split(text, ' ')[1:20]) AS w FROM documents)""",
+    """SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE regexp_full_match(w, '[A-Za-z0-9_-]{11}')) AS n_valid
+    FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1""",
 )
 def valid_id(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.slice(F.split("text", " "), 1, 20)).alias("candidate"))
-    return words.select("doc_id", "candidate", locators.is_valid_id("candidate").alias("valid"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(locators.is_valid_id("w")).alias("n_valid"))
 
 
 @query(
