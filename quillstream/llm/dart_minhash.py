@@ -19,9 +19,11 @@ Nothing gathers or pairs off a band's documents:
 * texts with the same words are one node;
 * a node is compared with the first node of each of its bands only (first with
   the first of them; with the others as far as they lie in another component);
-* the pairs this leaves out can only matter between components. In each band that
-  still holds several, the documents outside its largest component are compared
-  with those of other components; so no link within a shared band is lost.
+* the pairs this leaves out can only matter between components. Nodes of bands that
+  still hold several are dealt into chunks of bounded size, and chunks that meet in
+  a band are compared as wholes inside a task, which gives only links that join
+  components; so no link within a shared band is lost, and no pair is emitted that
+  isn't a link.
 Before texts are compared, one bit of each coordinate must agree about as often
 as similarity 0.8 makes it (a bound that such a pair misses once in 10**9).
 Joins on a band or a class may have very frequent keys; they are plain joins of
@@ -59,6 +61,10 @@ SKETCH_LONGS = -(-K // 64)
 MOST_DIFFERENT = int(K * 0.1 + 6 * (K * 0.09) ** 0.5)
 #: Up to so many row numbers (8 bytes each) are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
+#: A component of so many nodes has chunks of its own; chunks hold about so many characters and nodes at most.
+LARGE = 64
+CHUNK_CHARS = 600_000
+CHUNK_NODES = 256
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -201,6 +207,70 @@ def similar_enough(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILARITY[1] * common >= SIMILARITY[0] * (len(a) + len(b) - common)
 
 
+class Chunk:
+    """Nodes with labels, sketches and strips."""
+
+    def __init__(self, members: list[dict], shingler: Shingler):
+        self.nodes = [m["node"] for m in members]
+        self.labels = np.array([m["label"] for m in members], np.int64)
+        self.sketches = np.array([m["sketch"] for m in members], np.int64).reshape(len(members), SKETCH_LONGS).view(np.uint64)
+        self.sets = [np.sort(shingler.strips([shingler.words(m["text"])])[0]) for m in members]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+
+def _common(a: Chunk, b: Chunk, wanted: np.ndarray) -> np.ndarray:
+    """Numbers of common strips: of all pairs by matrix products, or, if few are wanted, one by one."""
+    out = np.zeros(wanted.shape, np.int64)
+    if wanted.sum() <= 400:
+        for i, j in np.argwhere(wanted):
+            out[i, j] = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
+        return out
+    strips = [(np.concatenate(c.sets), np.repeat(np.arange(len(c.sets)), c.sizes)) for c in (a, b)]
+    both = np.intersect1d(strips[0][0], strips[1][0])
+    at = []
+    for values, owner in strips:
+        place = np.searchsorted(both, values)
+        place[place == len(both)] = 0
+        known = both[place] == values if len(both) else np.zeros(len(values), bool)
+        at.append((place[known], owner[known]))
+    for first in range(0, len(both), 4096):
+        parts = []
+        for (place, owner), c in zip(at, (a, b), strict=True):
+            here = (place >= first) & (place < first + 4096)
+            x = np.zeros((len(c.sets), 4096), np.float32)
+            x[owner[here], place[here] - first] = 1
+            parts.append(x)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def joining_links(a: Chunk, b: Chunk) -> list[tuple[int, int]]:
+    """Links between nodes of a and b that join components: enough of them to connect all that links connect."""
+    differ = np.zeros((len(a.nodes), len(b.nodes)), np.int64)
+    for k in range(SKETCH_LONGS):
+        differ += np.bitwise_count(a.sketches[:, None, k] ^ b.sketches[None, :, k])
+    wanted = (differ <= MOST_DIFFERENT) & (a.labels[:, None] != b.labels[None, :])
+    if not wanted.any():
+        return []
+    common = _common(a, b, wanted)
+    enough = SIMILARITY[1] * common >= SIMILARITY[0] * (a.sizes[:, None] + b.sizes[None, :] - common)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in np.argwhere(wanted & enough):
+        x, y = find(int(a.labels[i])), find(int(b.labels[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((a.nodes[i], b.nodes[j]))
+    return links
+
+
 def _near(left: Column, right: Column) -> Column:
     """Whether few enough sketch bits differ."""
     differ = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(SKETCH_LONGS)]
@@ -288,30 +358,60 @@ class NearDuplicates:
         rest = self._apart(met.join(first, ["a", "b"], "left_anti"), labels)
         links = links.union(self._verified(rest))
         labels = self._components(links)
-        # What is left: bands with several components.
+        more = self._between(crowded, labels)
+        return labels if more.isEmpty() else self._components(links.union(more))
+
+    def _between(self, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between different components that share a band.
+
+        The nodes of bands that hold several components are dealt into chunks of bounded size: large components
+        have chunks of their own, other nodes share those of their fullest band. Chunks that meet in a band are
+        compared as wholes, and give only links that join components. No pair is a row unless it is a link.
+        """
         own = labels.select(F.col("node").alias("_n"), "label")
         here = crowded.join(own, F.col("node") == F.col("_n"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         here = materialise(here, "near-here")
-        shares = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = shares.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        mixed = here.join(mixed.select(F.col("band").alias("_b"), F.col("top.label").alias("largest")), F.col("band") == F.col("_b"))
-        mixed = mixed.join(self.sketches, "node").select("band", "node", "label", "largest", "sketch")
-        mixed = materialise(mixed, "near-mixed")
-        outside = mixed.filter("label <> largest").select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-        others = mixed.select(F.col("band").alias("_b"), F.col("node").alias("b"), F.col("label").alias("lb"), "largest", F.col("sketch").alias("sb"))
-        pairs = outside.join(
-            others,
-            (F.col("band") == F.col("_b"))
-            & (F.col("la") != F.col("lb"))
-            & ((F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b")))
-            & _near(F.col("sa"), F.col("sb")),
-        ).select("a", "b")
-        pairs = pairs.distinct().join(met, ["a", "b"], "left_anti")
-        pairs = materialise(pairs.join(met.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-rest")
-        if pairs.isEmpty():
-            return labels
-        more = self._verified(pairs)
-        return labels if more.isEmpty() else self._components(links.union(more))
+        held = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        mixed = materialise(here.join(held.filter("k > 1").select("band", "n"), "band"), "near-mixed")
+        if mixed.isEmpty():
+            return labels.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        nodes = mixed.groupBy("node", "label").agg(F.max(F.struct("n", "band")).alias("home"))
+        sizes = nodes.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("size"))
+        nodes = nodes.join(sizes, F.col("label") == F.col("_l")).select(
+            "node", "label", F.when(F.col("size") >= LARGE, F.col("label")).alias("whole"), F.col("home.band").alias("home")
+        )
+        nodes = materialise(nodes.withColumn("grp", F.when(F.col("whole").isNotNull(), F.xxhash64(F.lit(1), "whole")).otherwise(F.xxhash64(F.lit(2), "home"))), "near-nodes2")
+        texts = self._texts(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        nodes = nodes.join(texts.select(F.col("node").alias("_n"), F.length("text").alias("chars")), F.col("node") == F.col("_n")).drop("_n")
+        parts = nodes.groupBy(F.col("grp").alias("_g")).agg(F.greatest(F.ceil(F.sum("chars") / CHUNK_CHARS), F.ceil(F.count(F.lit(1)) / CHUNK_NODES)).alias("parts"))
+        part = F.pmod(F.xxhash64("node"), F.col("parts"))
+        nodes = nodes.join(parts, F.col("grp") == F.col("_g")).select("node", "label", "whole", F.xxhash64("grp", part).alias("chunk"))
+        nodes = materialise(nodes, "near-placed")
+        member = F.struct("node", "label", "sketch", "text")
+        chunks = nodes.join(self.sketches, "node").join(texts, "node").groupBy("chunk").agg(F.collect_list(member).alias("members"))
+        chunks = materialise(chunks, "near-chunks")
+        met = mixed.select("band", "node").join(nodes.select("node", "chunk", "whole"), "node").select("band", "chunk", "whole").distinct()
+        met = materialise(met, "near-met-chunks")
+        right = met.select(F.col("band").alias("_b"), F.col("chunk").alias("b"), F.col("whole").alias("wb"))
+        same = F.coalesce(F.col("whole") == F.col("wb"), F.lit(False))
+        pairs = met.join(right, (F.col("band") == F.col("_b")) & (F.col("chunk") <= F.col("b")) & ~same).select(F.col("chunk").alias("a"), "b").distinct()
+        pairs = materialise(pairs, "near-chunk-pairs")
+        both = pairs.join(chunks.select(F.col("chunk").alias("a"), F.col("members").alias("left")), "a")
+        both = both.join(chunks.select(F.col("chunk").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler()
+            last, kept = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
+                    if b != last:  # rows come in order of b
+                        last, kept = b, Chunk(batch.column("right")[i].as_py(), shingler)
+                    links = joining_links(kept if a == b else Chunk(batch.column("left")[i].as_py(), shingler), kept)
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        with settings(self.spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+            return materialise(both.mapInArrow(run, "a bigint, b bigint"), "near-links")
 
     def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of nodes in different components."""
@@ -330,7 +430,8 @@ class NearDuplicates:
         # null ids last: the flag comes first in the order
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")
         groups = rows.groupBy("label").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("class_size"))
-        groups = groups.select(F.col("label").alias("_l"), "low", "class_size")
+        # Written first, so that the join is a plain one, which can be split where a class is large.
+        groups = materialise(groups.select(F.col("label").alias("_l"), "low", "class_size"), "near-groups")
         joined = rows.join(groups, F.col("label") == F.col("_l"))
         return joined.select("loc", "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", (F.col("loc") == F.col("low.loc")).alias("kept"))
 
