@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import ship_package
 from ..functions.schemas import SEGMENTS
 
 # Suffixes of audio files.
@@ -59,4 +60,5 @@ def transcribe(audio: DataFrame, load_model: Callable[[], Transcriber], model_si
                 rows.append((video, found, probability, segments, "faster_whisper", model_size, error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("video_id language language_probability segments source model_size error_code").split()])
 
+    ship_package(audio.sparkSession)
     return audio.select("video_id", "content").mapInPandas(run, ASR_ROW)
