@@ -32,14 +32,18 @@ def enqueue(jobs: DataFrame, requests: DataFrame, now_us: int) -> DataFrame:
     """jobs after requests (job_id, video_id, lang_key): new ones are pending, failed ones start again, others stay."""
     wanted = requests.select("job_id", "video_id", "lang_key").dropDuplicates(["job_id"])
     new = wanted.join(jobs.select("job_id"), "job_id", "left_anti").select(
-        "job_id", "video_id", "lang_key", F.lit(MAX_ATTEMPTS).alias("max_attempts"), "*", *_fresh(F.lit(now_us), F.lit(now_us))
+        "job_id", "video_id", "lang_key", F.lit(MAX_ATTEMPTS).alias("max_attempts"), *_fresh(F.lit(now_us), F.lit(now_us))
     )
     new = new.select(*jobs.columns)
     asked = jobs.join(wanted.select("job_id").withColumn("_asked", F.lit(True)), "job_id", "left")
     again = F.coalesce(F.col("_asked"), F.lit(False)) & (F.col("status") == "failed")
+    return requeue(asked, now_us, again).select(*jobs.columns).unionByName(new)
+
+
+def requeue(jobs: DataFrame, now_us: int, which: Column) -> DataFrame:
+    """jobs with some of them pending again, as if new, but for the time of their creation."""
     fresh = dict(zip(STATE_FIELDS, _fresh(F.col("created_us"), F.lit(now_us)), strict=True))
-    kept = asked.select(*[F.when(again, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in jobs.columns])
-    return kept.unionByName(new)
+    return jobs.select(*[F.when(which, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in jobs.columns])
 
 
 def _fresh(created: Column, now: Column) -> list[Column]:
