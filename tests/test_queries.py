@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
-from oracle import assert_same
+from oracle import SMALL, assert_same
 
 from quillstream.plans.catalogue import ORACLES, QUERIES
 
