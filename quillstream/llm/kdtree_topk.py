@@ -15,7 +15,7 @@ equal the kth score are still visited, so ties go to the smaller id.
 
 Components are integers, floor(scale * x). While no score can reach 2**53,
 products are taken in float64, where they are exact; beyond, in Python integers,
-and scores are held within the range of a 64-bit integer.
+and scores outside the range of a 64-bit integer count as its end.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part; neither do null ids. Vectors only meet vectors of their own length.
@@ -111,7 +111,7 @@ def search_tree(tree: dict, queries: np.ndarray, own: np.ndarray, best: list[lis
             near = np.arange(b - a) if len(mine) < k else np.flatnonzero(scores >= mine[0][0])
             for j in near:
                 if ids[a + j] != own[i]:
-                    item = (int(scores[j]), -int(ids[a + j]), 1)
+                    item = (max(-_LONG - 1, min(_LONG, int(scores[j]))), -int(ids[a + j]), 1)
                     if len(mine) < k:
                         heapq.heappush(mine, item)
                     elif item > mine[0]:
@@ -128,8 +128,7 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 def _found(frame: pd.DataFrame, best: list[list[tuple[int, int, int]]]) -> pd.DataFrame:
     hits = [(q, s, -i) for q, heap in zip(frame["qid"], best, strict=True) for s, i, new in heap if new]
-    score = [max(-_LONG - 1, min(_LONG, s)) for _, s, _ in hits]
-    return pd.DataFrame({"qid": [h[0] for h in hits], "vec_id": [h[2] for h in hits], "score": score}).astype("int64")
+    return pd.DataFrame({"qid": [h[0] for h in hits], "vec_id": [h[2] for h in hits], "score": [h[1] for h in hits]}).astype("int64")
 
 
 def top_k(
