@@ -40,6 +40,8 @@ STATE_CONF = {
 MICRO_BATCHES = 3
 #: Up to so many repeated digests (32 bytes each) are sent to all executors; beyond, every text is compared.
 BROADCAST_DIGESTS = 200_000
+#: Up to so many row numbers (8 bytes each) are broadcast; beyond, they are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -87,7 +89,11 @@ class Classes:
 
     def kept_rows(self) -> DataFrame:
         """The documents that stay, with their own columns."""
-        return self._assigned(self.spool, F.col("rec")).filter("kept").select("rec.*")
+        rows = self.spool.select("id", "digest", "loc", *(["body"] if self.split is not None else []))
+        gone = materialise(self._assigned(rows, F.col("loc")).filter(~F.col("kept")).select("loc"), "dedup-gone")
+        # Only row numbers are moved; texts too, if there are too many of them to broadcast.
+        small = gone.count() <= BROADCAST_ROWS
+        return self.spool.select("loc", "rec").join(F.broadcast(gone) if small else gone, "loc", "left_anti").select("rec.*")
 
 
 def _run_stream(spark: SparkSession, spool: DataFrame, spool_path: str, batches: int) -> DataFrame:
