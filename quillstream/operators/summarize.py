@@ -33,14 +33,19 @@ def doc_freq(tf: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def scored(sents: DataFrame, key: str = "video_id") -> DataFrame:
-    """sents with score: the sum of tf * (ln(N / df) + 1) over the sentence's terms, in order of first occurrence."""
-    tf = term_freq(sents, key)
-    counts = sents.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    weighed = tf.join(doc_freq(tf, key), [key, "term"]).join(counts, key)
-    part = F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1)
-    parts = F.sort_array(F.collect_list(F.struct("first_pos", part.alias("part"))))
-    sums = weighed.groupBy(key, "sent_idx").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
-    return sents.join(sums, [key, "sent_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """sents with score: the sum of tf * (ln(N / df) + 1) over the sentence's terms, in order of first occurrence.
+
+    Sentences come partitioned by transcript; counts within it are windows, so that nothing is exchanged again.
+    """
+    words = sents.select(key, "sent_idx", "start", "end", "text", F.posexplode_outer(terms("text")).alias("pos", "term"))
+    first = [F.first(c).alias(c) for c in ("start", "end", "text")]
+    tf = words.groupBy(key, "sent_idx", "term").agg(F.min("pos").alias("first_pos"), F.count("term").alias("tf"), *first)
+    df = F.count(F.lit(1)).over(Window.partitionBy(key, "term"))
+    n = F.max("sent_idx").over(Window.partitionBy(key)) + 1
+    part = F.when(F.col("term").isNotNull(), F.col("tf") * (F.log(n / df) + 1))
+    weighed = tf.withColumn("part", part)
+    parts = F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("first_pos", "part"))))
+    return weighed.groupBy(key, "sent_idx").agg(*first, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
 
 
 def ranked(sents: DataFrame, key: str = "video_id") -> DataFrame:

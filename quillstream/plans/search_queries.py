@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import materialise
 from ..operators import chunking, search
 from ..sources import store
 from .registry import SEG, query, table
@@ -52,6 +53,11 @@ def chunks(spark: SparkSession, sf_dir: str, overlap: float = OVERLAP, min_token
     return chunking.chunk_transcripts(segments(spark, sf_dir), min_tokens, MAX, overlap)
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a stored table, as searches have it."""
+    return materialise(chunks(spark, sf_dir), "chunks")
+
+
 @query("oversize_split", f'WITH {UNITS} SELECT video_id, seg_idx, pos, "start", "end", text FROM units')
 def oversize_split(spark, sf_dir):
     return chunking.units(segments(spark, sf_dir), MAX).select("video_id", "seg_idx", "pos", "start", "end", "text")
@@ -133,13 +139,13 @@ def _shown(found: DataFrame) -> DataFrame:
 
 @query("bm25_topk", f"WITH {TOKENS}, {_ASKED}, {_SCORED}, {_TOP.format(where='')}")
 def bm25_topk(spark, sf_dir):
-    return _shown(search.search(chunks(spark, sf_dir), asked(spark, sf_dir)))
+    return _shown(search.search(stored_chunks(spark, sf_dir), asked(spark, sf_dir)))
 
 
 @query("bm25_topk_by_video", f"WITH {TOKENS}, {_ASKED}, {_SCORED}, {_TOP.format(where='WHERE (video_id::BIGINT - query_id) % 40 = 0')}")
 def bm25_topk_by_video(spark, sf_dir):
     own = (F.col("video_id").cast("bigint") - F.col("query_id")) % 40 == 0
-    return _shown(search.search(chunks(spark, sf_dir), asked(spark, sf_dir), within=own))
+    return _shown(search.search(stored_chunks(spark, sf_dir), asked(spark, sf_dir), within=own))
 
 
 #: Transcripts of languages other than German have been indexed.
