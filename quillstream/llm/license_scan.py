@@ -27,9 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, after A-Z have been lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words. A-Z and a-z are word characters alike, so lower-casing first would cut the same words.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -68,8 +67,17 @@ NOTICES = (
 
 
 def file_words(text: str | Column) -> Column:
+    """Words as written."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+
+
+def _is_one_of(word: Column, vocabulary: list[str]) -> Column:
+    """Whether the word with A-Z lower-cased is one of these plain words.
+
+    lower() also changes other letters, a few of them to plain ones; but never without making the word shorter.
+    """
+    return F.lower(word).isin(vocabulary) & (F.octet_length(F.lower(word)) == F.octet_length(word))
 
 
 def _phrases(templates: tuple[Template, ...]) -> list[tuple[str, ...]]:
@@ -133,15 +141,15 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document."""
     phrases = _phrases(BASE + NOTICES)
     vocabulary = sorted({w for p in phrases for w in p})
-    licence_word = lambda w: w.isin(vocabulary)
-    idf = inverse_frequencies(docs.select(F.filter(file_words(text_col), licence_word).alias("found")), vocabulary)
+    licence_words = F.filter(file_words(text_col), lambda w: _is_one_of(w, vocabulary))
+    idf = inverse_frequencies(docs.select(F.transform(licence_words, F.lower).alias("found")), vocabulary)
     # Every phrase's rarest word; a file without any of them has no phrase.
     anchors = sorted({max(p, key=lambda w: (idf[w], len(w))) for p in phrases})
     words = docs.select(F.col(id_col).alias("doc_id"), file_words(text_col).alias("words"))
     entry = lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("w"))
-    found = F.filter(F.transform("words", entry), lambda x: x["w"].isin(vocabulary))
-    found = F.transform(found, lambda x, j: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), j.cast("int").alias("j")))
-    looked_up = F.when(F.exists("words", lambda w: w.isin(anchors)), found).otherwise(F.array().cast("array<struct<pos:int,w:string,j:int>>"))
+    found = F.filter(F.transform("words", entry), lambda x: _is_one_of(x["w"], vocabulary))
+    found = F.transform(found, lambda x, j: F.struct(x["pos"].alias("pos"), F.lower(x["w"]).alias("w"), j.cast("int").alias("j")))
+    looked_up = F.when(F.exists("words", lambda w: _is_one_of(w, anchors)), found).otherwise(F.array().cast("array<struct<pos:int,w:string,j:int>>"))
     rows = words.select("doc_id", F.size("words").cast("long").alias("n_words"), looked_up.alias("found"))
     # One column of places per template.
     templates = list(dict.fromkeys(BASE + NOTICES))

@@ -12,7 +12,7 @@ BASE = [(t.label, t.phrases[0].split()) for t in license_scan.BASE]
 
 def words(text):
     lowered = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return re.findall(license_scan.WORD, lowered)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
 def brute(text):
@@ -36,7 +36,7 @@ def brute_labels(text):
 
 TEXTS = [
     None, "", "MIT License", "mit  LICENSE, mit-license; the MIT\nLicense", "mit licenses", "MITLicense", "license mit license mit license", "apache license" * 3,
-    "GNU General Public License, version 3 and the MIT License", "general public general public license", "Licensed under CC BY-NC 4.0.", "ÀMIT License MIT Licenseé",
+    "GNU General Public License, version 3 and the MIT License", "general public general public license", "Licensed under CC BY-NC 4.0.", "ÀMIT License MIT Licenseé", "Ap\u212ache License MIT LICEN\u0130SE m\u0130t license \u212ait", "apache LICENSE APACHE license",
     "Permission is hereby granted, free of charge, to any person " + "to deal in it " * 5 + "without restriction", "Permission is hereby granted, free of charge, " + "x " * 100 + "without restriction",
     "Redistribution and use in source and binary forms, with or without modification, are permitted", "without restriction permission is hereby granted free of charge",
     "mit license " * 20_000, "This is free and unencumbered software released into the public domain", "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0",
