@@ -36,7 +36,8 @@ SHARD_ROWS = 2048
 FAN_OUT = 32
 #: Up to this spread a child's share is drawn by exact inversion; beyond, from the rounded normal law.
 EXACT_SIGMA = 500.0
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words.
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def _uniform(*key: Column) -> Column:
@@ -79,7 +80,7 @@ def _hypergeometric(total: Column, mine: Column, drawn: Column, *key: Column) ->
 
 def sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
     """id, source, size and place in the permutation of every document."""
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")).cast("long")
     return docs.select("doc_id", "source", words.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("perm"), *more)
 
 
