@@ -447,3 +447,19 @@ def representatives(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     gone = materialise(run.classes().filter(~F.col("kept")).select("loc"), "near-gone")
     small = gone.count() <= BROADCAST_ROWS
     return run.spool.select("loc", "rec").join(F.broadcast(gone) if small else gone, "loc", "left_anti").select("rec.*")
+
+
+#: Classes by comparing all documents that share a shingle, in DuckDB's SQL.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [chr(1) || text] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+c AS MATERIALIZED (SELECT doc_id, s, count(*) AS n FROM s GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN t a ON a.doc_id = x JOIN t b ON b.doc_id = y WHERE 5 * common >= 4 * (a.total + b.total - common)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM t UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y),
+k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k
+"""

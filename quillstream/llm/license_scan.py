@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words. A-Z and a-z are word characters alike, so lower-casing first would cut the same words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -171,5 +172,43 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         F.array_max(base_starts).cast("long").alias("last_word"),
         label(BASE).alias("base_labels"),
         label(BASE + NOTICES).alias("labels"),
-        score.alias("score"),
+        F.round(score, 6).alias("score"),
     )
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """The scan by looking at every place of every file, in DuckDB's SQL."""
+    templates = list(dict.fromkeys(BASE + NOTICES))
+    vocabulary = sorted({w for t in templates for p in t.phrases for w in p.split()})
+    text = lambda x: "'" + x + "'"
+
+    def places(phrase: str) -> str:
+        ws = phrase.split()
+        there = " AND ".join(f"ws[i + {k}] = {text(w)}" for k, w in enumerate(ws))
+        return f"list_filter(range(1, len(ws) - {len(ws) - 2}), lambda i: {there})"
+
+    def template(t: Template) -> str:
+        first, *rest = map(places, t.phrases)
+        for r in rest:
+            first = f"list_filter({first}, lambda s: len(list_filter({r}, lambda r: r > s AND r <= s + {t.window})) > 0)"
+        return first
+
+    columns = ", ".join(f"{template(t)} AS t{k}" for k, t in enumerate(templates))
+    found = lambda ks: ", ".join(f"CASE WHEN len(t{k}) > 0 THEN {text(templates[k].label)} END" for k in ks)
+    labels = lambda ks: f"array_to_string(list_sort(list_distinct(list_filter([{found(ks)}], lambda x: x IS NOT NULL))), ',')"
+    base, every = range(len(BASE)), range(len(templates))
+    places_of_base = " || ".join(f"t{k}" for k in base)
+    words = ", ".join(f"({k}, {text(w)})" for k, t in enumerate(templates) for p in t.phrases for w in p.split())
+    weights = ", ".join(f"CASE WHEN len(t{k}) > 0 THEN 0.5 + 0.5 * (SELECT x FROM share WHERE t = {k}) ELSE 0 END" for k in every)
+    return f"""
+    WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {text(_UPPER)}, {text(_LOWER)}),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {table}),
+    n AS (SELECT count(*)::DOUBLE AS n FROM w),
+    df AS (SELECT v, count(*)::DOUBLE AS df FROM (SELECT unnest(list_distinct(ws)) AS v FROM w) WHERE v IN ({", ".join(map(text, vocabulary))}) GROUP BY 1),
+    used(t, v) AS (VALUES {words}),
+    weight AS (SELECT t, sum(ln((n + 1) / (coalesce(df, 0) + 1))) AS x FROM used CROSS JOIN n LEFT JOIN df USING (v) GROUP BY t),
+    share AS (SELECT t, x / coalesce(nullif((SELECT max(x) FROM weight), 0), 1) AS x FROM weight),
+    f AS (SELECT doc_id, ws, {columns} FROM w)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, len({places_of_base})::BIGINT AS n_base, list_min({places_of_base})::BIGINT - 1 AS first_word,
+      list_max({places_of_base})::BIGINT - 1 AS last_word, {labels(base)} AS base_labels, {labels(every)} AS labels, round(greatest({weights}), 6)::DOUBLE AS score FROM f
+    """

@@ -54,5 +54,22 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicate_classes(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_html_crf": op1_html_crf, "op2_exact_dedup": op2_exact_dedup, "op3_pu_quality": op3_pu_quality, "op4_packing": op4_packing, "op5_kdtree_topk": op5_kdtree_topk, "op6_bpe": op6_bpe, "op7_license_scan": op7_license_scan, "op8_chat_format": op8_chat_format, "op9_mixing": op9_mixing, "op10_dart_minhash": op10_dart_minhash}
-ORACLES = {"op2_exact_dedup": exact_dedup.oracle_sql(), "op5_kdtree_topk": kdtree_topk.ORACLE, "op8_chat_format": chat_format.ORACLE}
+QUERIES = {
+    "op1_html_crf": op1_html_crf,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_pu_quality": op3_pu_quality,
+    "op4_packing": op4_packing,
+    "op5_kdtree_topk": op5_kdtree_topk,
+    "op6_bpe": op6_bpe,
+    "op7_license_scan": op7_license_scan,
+    "op8_chat_format": op8_chat_format,
+    "op9_mixing": op9_mixing,
+    "op10_dart_minhash": op10_dart_minhash,
+}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.oracle_sql(),
+    "op5_kdtree_topk": kdtree_topk.ORACLE,
+    "op7_license_scan": license_scan.oracle_sql(),
+    "op8_chat_format": chat_format.ORACLE,
+    "op10_dart_minhash": dart_minhash.ORACLE,
+}
