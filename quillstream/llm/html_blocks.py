@@ -73,18 +73,18 @@ def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[Element] = []
     text: list[str] = []
+    path: tuple[Element, ...] = ()  # where the block's first text stands
     linked = links = unseen = 0
     cache: dict[tuple[str, str], Element] = {}
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                path = tuple(e for e in stack if e.tag not in INLINE or e.words or e.tag == "a")
                 blocks.append(Block(whole, path, linked))
             text.clear()
-        linked = 0
+        linked, path = 0, ()
 
     def pop_to(size: int) -> None:
         nonlocal links, unseen
@@ -102,6 +102,8 @@ def leaf_blocks(page: str) -> list[Block]:
         stop = mark if m or mark == end else mark + 1
         if stop > at and not unseen:
             piece = html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
+            if not path and not piece.isspace():
+                path = tuple(e for e in stack if e.tag not in INLINE or e.words or e.hidden) or (Element("body"),)
             text.append(piece)
             if links:
                 linked += len(piece.strip())

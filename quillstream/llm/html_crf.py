@@ -43,12 +43,13 @@ WORD_GROUPS = {
 }
 _GROUP_OF = {w: g for g, ws in WORD_GROUPS.items() for w in reversed(ws.split())}
 _MAIN_TAGS = ("article", "main")
+_BESIDE_TAGS = ("nav", "header", "footer", "aside", "form", "dialog")
 
 
 @functools.lru_cache(maxsize=20_000)
 def _path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     found: dict[str, None] = {}
-    near = "none"
+    near, inside = "none", False
     for e in path:
         found[f"in:{e.tag}"] = None
         if e.hidden:
@@ -58,10 +59,15 @@ def _path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
         groups = sorted(groups, key=lambda g: g == "main")
         for g in groups:
             found[f"word:{g}"] = None
+            if inside and g != "main":
+                found[f"deeper:{g}"] = None
+        if inside and e.tag in _BESIDE_TAGS:
+            found[f"deeper:<{e.tag}>"] = None
         if groups:
             near = groups[0]
-        elif e.tag in ("article", "main", "nav", "header", "footer", "aside", "form"):
+        elif e.tag in (*_MAIN_TAGS, *_BESIDE_TAGS):
             near = f"<{e.tag}>"
+        inside = inside or e.tag in _MAIN_TAGS or groups[:1] == ["main"]
     blocks = [e.tag for e in path if e.tag not in ("a", "span", "b", "i", "em", "strong")]
     found[f"near:{near}"] = None
     found[f"own:{blocks[-1] if blocks else 'none'}"] = None
@@ -72,6 +78,10 @@ def _path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _near(features: tuple[str, ...]) -> str:
+    return next(f for f in features if f.startswith("near:"))
+
+
 def _bucket(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
@@ -82,14 +92,17 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     has_main = any("inside" in p for p in paths)
     named = any("word:main" in p for p in paths)
     out = []
-    for b, p in zip(blocks, paths, strict=True):
+    for i, (b, p) in enumerate(zip(blocks, paths, strict=True)):
         n = len(b.text)
         density = b.linked / n
         f = [*p, "bias", f"chars:{_bucket(n, (12, 30, 80, 200))}", f"links:{_bucket(density, (0.01, 0.35, 0.8))}"]
         last = b.text[-1]
         f.append("stop" if last in ".!?…" else "nostop")
-        if "©" in b.text or "copyright" in b.text.lower():
+        lowered = b.text.lower()
+        if "©" in lowered or "(c)" in lowered or "copyright" in lowered or "rights reserved" in lowered:
             f.append("copyright")
+        f.append(f"before:{_near(paths[i - 1])}" if i else "first")
+        f.append(f"behind:{_near(paths[i + 1])}" if i + 1 < len(paths) else "last")
         inside = "inside" in p
         f.append(f"page:{'main' if has_main else 'named' if named else 'plain'}:{'in' if inside or (not has_main and 'word:main' in p) else 'out'}")
         out.append(f)
@@ -229,15 +242,20 @@ class _Writer:
 
     def bottom(self) -> str:
         inner = self.r.choice([f"&copy; {self.word()}.example {self.sentence()}", f"<p>{self.prose()}</p>", "<ul>" + "".join(f"<li>{x}</li>" for x in self.links(3)) + "</ul>"])
+        if self.r.random() < 0.25:
+            mark = self.r.choice(["&copy;", "(c)", "Copyright", "&copy; 2020", "All rights reserved"])
+            return f"<{(t := self.r.choice(['div', 'p', 'small', 'address']))}>{mark} {self.sentence(1, 5)}</{t}>"
         return self.r.choice([f"<footer>{inner}</footer>", f"<div{self.attr('footer', 'site-footer', 'copyright', 'legal')}>{inner}</div>"])
 
     def notice(self) -> str:
         inner = self.r.choice([self.prose(), f"<p>{self.prose()}</p>", f"{self.sentence()} <button>{self.sentence(1, 2)}</button>"])
+        if self.r.random() < 0.2:
+            return self.r.choice([f"<dialog open>{inner}</dialog>", f'<div role="alert">{inner}</div>', f'<div style="display:none">{inner}</div>', f"<p hidden>{self.sentence()}</p>"])
         return f"<{(t := self.r.choice(['div', 'section', 'aside']))}{self.attr('cookie-banner', 'notice', 'alert', 'consent', 'cookies', 'popup', 'gdpr', 'warning')}>{inner}</{t}>"
 
     def advert(self) -> str:
         inner = self.r.choice([self.prose(), f"<p>{self.prose()}</p>", f"<a href='x'>{self.sentence()}</a>", f"<h3>{self.sentence(1, 4)}</h3><p>{self.prose()}</p>"])
-        kinds = ["div", "div", "aside", "section"] + ["p"] * ("<p" not in inner and "<h3" not in inner)
+        kinds = ["div", "div", "aside", "section"] + ["p", "ins"] * ("<p" not in inner and "<h3" not in inner)
         return f"<{(t := self.r.choice(kinds))}{self.attr('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot', 'adsbygoogle')}>{inner}</{t}>"
 
     def side(self) -> str:
@@ -247,6 +265,8 @@ class _Writer:
     def form(self) -> str:
         inner = f"<label>{self.sentence(1, 3)}</label><input name='a'>" + self.r.choice(["", f"<p>{self.prose()}</p>"]) + f"<button>{self.sentence(1, 2)}</button>"
         inner = self.r.choice([inner, f"<fieldset><legend>{self.sentence(1, 3)}</legend>{inner}<select><option>{self.word()}</select></fieldset>"])
+        if self.r.random() < 0.3:
+            return f"<div{self.attr('newsletter', 'newsletter-signup', 'subscribe-box', 'login', 'register', 'contact')}><p>{self.prose()}</p></div>"
         return self.r.choice([f"<form action='/s'>{inner}</form>", f"<div{self.attr('newsletter', 'subscribe', 'search', 'login')}><form>{inner}</form></div>"])
 
     def comments(self) -> str:
@@ -254,11 +274,14 @@ class _Writer:
             f'<div class="comment"><b>{self.word()}</b><p>{self.prose()}</p></div>',
             f'<li class="comment"><p>{self.prose()}</p></li>',
             f'<article class="comment"><p>{self.prose()}</p></article>',
+            f"<article><p>{self.prose()}</p></article>",
+            f"<li><p>{self.prose()}</p></li>",
             f"<p>{self.prose()}</p>",
             f"<div>{self.prose()}</div>",
         ])
         inner = self.r.choice(["", f"<h3>{self.sentence(1, 3)}</h3>", f"<h2>{self.sentence(1, 3)}</h2>"]) + "".join(one() for _ in range(self.r.randint(1, 5)))
-        return f"<{(t := self.r.choice(['div', 'section', 'ol']))}{self.attr('comments', 'comment-list', 'comments-area', 'discussion', 'responses', 'reader-comments', 'reviews')}>{inner}</{t}>"
+        title = self.r.choice(["", "", "", f"<h3>{self.sentence(1, 3)}</h3>", f"<h2>{self.sentence(1, 3)}</h2>"])
+        return title + f"<{(t := self.r.choice(['div', 'section', 'ol']))}{self.attr('comments', 'user-comments', 'commentlist', 'disqus_thread', 'comment-list', 'comments-area', 'discussion', 'responses', 'reader-comments', 'reviews')}>{inner}</{t}>"
 
     def said(self, text: str) -> str:
         self.main.add(" ".join(text.split()))
@@ -293,7 +316,7 @@ class _Writer:
         inner = f"<h1>{self.said(self.sentence(1, 6))}</h1>" if r.random() < 0.8 else ""
         for _ in range(r.choice([1, 1, 2, 4, 8, 20])):
             inner += self.paragraph()
-            if r.random() < 0.06:
+            if r.random() < 0.1:
                 inner += r.choice([self.advert, self.notice, self.form, self.side])()
         if r.random() < 0.1:
             inner += self.comments()
