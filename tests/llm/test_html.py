@@ -72,7 +72,7 @@ def brute_viterbi(model, blocks):
 def test_viterbi_is_the_best_path():
     model = html_crf.default_model()
     checked = 0
-    for blocks, _ in html_crf.labelled_pages(60, seed=5):
+    for blocks, _ in html_crf.labelled_pages(150, seed=5):
         if 0 < len(blocks) <= 12:
             assert model.decode(blocks) == brute_viterbi(model, blocks)
             checked += 1
