@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
@@ -29,14 +29,19 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, for the operators that run Python there."""
+    """Give the executors this package, for the operators that run Python there, through the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / "quillstream_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "quillstream").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    sc.addPyFile(str(target))
+    target = shared_dir(spark, "code") + "/quillstream_code.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     _shipped.add(sc.applicationId)
