@@ -324,7 +324,7 @@ class NearDuplicates:
                     keep.append(similar_enough(set_of(ta[i].as_py()), right))
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        with settings(self.spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
+        with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
             return materialise(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "near-links")
 
     def _components(self, links: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ class NearDuplicates:
                     links = joining_links(kept if a == b else Chunk(batch.column("left")[i].as_py(), shingler), kept)
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-        with settings(self.spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+        with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
             return materialise(both.mapInArrow(run, "a bigint, b bigint"), "near-links")
 
     def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:

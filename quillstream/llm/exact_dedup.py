@@ -105,7 +105,7 @@ def _run_stream(spark: SparkSession, spool: DataFrame, spool_path: str, batches:
         batch.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
 
     files = len(spool.inputFiles())
-    with settings(spark, **STATE_CONF):
+    with settings(spark, STATE_CONF):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(spool_path)
         state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "loc")).alias("keep"))
         query = (

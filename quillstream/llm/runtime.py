@@ -1,52 +1,20 @@
-"""What the operators share: the shared work folder, code shipping and naming."""
+"""What the operators share: the shared folder, code shipping, settings and tables."""
 
 from __future__ import annotations
 
 import contextlib
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..cluster import materialise, shared_dir, ship_package
 
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder path below spark.checkpoint.dir, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{root.rstrip('/')}/quillstream/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; survives lost executors."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, for the operators that run Python there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp()) / "quillstream_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((root / "quillstream").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
+__all__ = ["materialise", "read_table", "settings", "shared_dir", "ship_package", "tokenizer_path"]
 
 
 @contextlib.contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Set session settings (underscores stand for dots are not translated) and restore them."""
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for a while."""
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
