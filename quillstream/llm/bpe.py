@@ -26,7 +26,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ from .runtime import ship_package
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same cuts for texts without OTHER, from the standard library's engine, which is faster.
 _FAST = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: And for plain ASCII.
+_ASCII = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Numbers that aren't decimal digits, and characters that only one engine takes for blanks.
 _OTHER = regex.compile(r"[\p{No}\p{Nl}\x1c-\x1f]")
 LONG_WORD = 1024
@@ -170,6 +172,8 @@ class Codec:
         return np.array([x for x in s if x >= 0], dtype="<i4").tobytes()
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii():  # engines differ over the separators, which Python's re takes for blanks in Unicode mode only
+            return _ASCII.findall(text)
         return (self.split if _OTHER.search(text) else _FAST).findall(text)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
