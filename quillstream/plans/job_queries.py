@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import client_status
 from ..operators import jobs, resilience
 from ..streaming import job_queue
-from .registry import query, table
-
-def _us() -> Column:
-    """The time of an event in microseconds."""
-    return F.unix_micros(F.col("ts").cast("timestamp"))
-
+from .registry import event_micros, query, table
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as provider calls."""
@@ -22,7 +17,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("provider"),
         F.col("event_id").alias("seq"),
-        _us().alias("ts_us"),
+        event_micros().alias("ts_us"),
         outcome.alias("outcome"),
         F.col("value").alias("latency_s"),
         F.when(kind == "error", F.when(F.col("user_id") % 3 == 0, "blocked").otherwise("asr_failed")).alias("error_code"),
@@ -123,12 +118,12 @@ def job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.lit("queued").alias("stage"),
         (user % 4).cast("int").alias("attempts"),
-        (_us() + (user % 5) * 3_600_000_000).alias("next_attempt_us"),
-        F.when(user % 7 != 0, _us()).alias("heartbeat_us"),
+        (event_micros() + (user % 5) * 3_600_000_000).alias("next_attempt_us"),
+        F.when(user % 7 != 0, event_micros()).alias("heartbeat_us"),
         F.when(kind == "error", "blocked").alias("error_code"),
         none.alias("error_message"),
-        _us().alias("created_us"),
-        (_us() + F.coalesce(F.floor("value"), F.lit(0)) * 1_000_000).alias("updated_us"),
+        event_micros().alias("created_us"),
+        (event_micros() + F.coalesce(F.floor("value"), F.lit(0)) * 1_000_000).alias("updated_us"),
     )
 
 
@@ -140,7 +135,7 @@ nw AS (SELECT max(epoch_us(ts)) AS now FROM events)"""
 
 
 def _now(spark, sf_dir) -> int:
-    return table(spark, sf_dir, "events").agg(F.max(_us())).first()[0]
+    return table(spark, sf_dir, "events").agg(F.max(event_micros())).first()[0]
 
 
 @query(
@@ -211,7 +206,7 @@ def job_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.concat_ws(":", F.col("user_id").cast("string"), (k % 3).cast("string")).alias("job_id"),
         k.alias("seq"),
-        _us().alias("ts_us"),
+        event_micros().alias("ts_us"),
         op.alias("op"),
         F.when(k % 4 == 0, "transcribing").alias("stage"),
         F.when(k % 5 == 0, "asr_failed").otherwise("blocked").alias("error_code"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_micros() -> Column:
+    """The time of an event, which has no zone, in microseconds; whatever the session's zone is."""
+    return F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+
+
 #: documents as segments, in SQL.
 SEG = """seg AS (
   SELECT doc_id::VARCHAR AS video_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'auto' END AS track_type,

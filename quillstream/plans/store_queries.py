@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reading, tracks
 from ..sources import audio, store
-from .registry import SEG, query, table
+from .registry import SEG, event_micros, query, table
 from .text_queries import segments
 
 KEYS = ("video_id", "track_type")
@@ -19,7 +19,7 @@ def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("video_id"),
         F.col("event_type").alias("track_type"),
-        F.col("ts").cast("timestamp").alias("fetched_at"),
+        F.timestamp_micros(event_micros()).alias("fetched_at"),
         F.col("event_id").alias("write_seq"),
         "value",
     )
@@ -95,7 +95,7 @@ def cache_defaults(spark, sf_dir):
 )
 def stale_entries(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    mtime = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    mtime = event_micros() / 1_000_000
     name = F.concat(F.when(F.col("event_type") == "view", "work_").otherwise("other_"), F.col("event_id").cast("string"))
     listing = events.select(name.alias("name"), (F.col("user_id") % 4 != 0).alias("is_dir"), mtime.alias("mtime"))
     return store.stale_entries(listing, listing.agg(F.max("mtime")).scalar(), "work_", 86_400)
