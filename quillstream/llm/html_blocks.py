@@ -30,6 +30,11 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "button", "object", "caption", "html"})
+#: What may stand in head; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Elements inside which '/>' ends an element, and those inside them that hold HTML again.
+FOREIGN = frozenset({"svg", "math"})
+HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]{0,65536}\"|'[^']{0,65536}'|[^'\">])*+|[^>]*)>|<[!?/][^>]*>"
@@ -68,10 +73,19 @@ def _element(tag: str, attrs: str) -> Element:
     return Element(tag, tuple(dict.fromkeys(words)), hidden or bool(re.search(r"\shidden(?=\s|$)", attrs)))
 
 
+def _self_closed(attrs: str) -> bool:
+    """Whether the slash at the end is the tag's, not an unquoted value's."""
+    if not attrs.endswith("/"):
+        return False
+    last = max(map(attrs.rfind, " \t\n\r\f\"'")) + 1
+    return "=" not in attrs[last:] and not attrs[:last].rstrip().endswith("=")
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks in order. Text in UNSEEN elements and in comments is none."""
     blocks: list[Block] = []
     stack: list[Element] = []
+    foreign: list[bool] = []  # whether '/>' ends what stands in the element of the stack
     text: list[str] = []
     path: tuple[Element, ...] = ()  # where the block's first text stands
     linked = links = unseen = 0
@@ -90,6 +104,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal links, unseen
         while len(stack) > size:
             e = stack.pop()
+            foreign.pop()
             links -= e.tag == "a"
             unseen -= e.tag in UNSEEN
 
@@ -100,6 +115,8 @@ def leaf_blocks(page: str) -> list[Block]:
             mark = end
         m = _TOKEN.match(page, mark) if mark < end else None
         stop = mark if m or mark == end else mark + 1
+        if stop > at and stack and stack[-1].tag == "head" and not page[at:stop].isspace():
+            pop_to(len(stack) - 1)
         if stop > at and not unseen:
             piece = html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
             if not path and not piece.isspace():
@@ -135,6 +152,15 @@ def leaf_blocks(page: str) -> list[Block]:
                     pop_to(i)
                     break
             continue
+        if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
+        elif tag == "body" and unseen:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag == "head":
+                    pop_to(i)
+                    break
+                if stack[i].tag in ("template", "body"):
+                    break
         if tag == "br":
             text.append(" ")
             continue
@@ -165,6 +191,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         attrs = m["attrs"] or ""
+        around = bool(foreign) and foreign[-1]
+        if attrs.endswith("/") and (tag in ("path", "circle", "rect") or (around or tag in FOREIGN) and _self_closed(attrs)):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = close.start() if close else end
@@ -172,11 +201,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 gt = page.find(">", at)
                 at = end if gt < 0 else gt + 1
                 continue
-        if attrs.endswith("/") and tag in ("path", "circle", "rect"):
-            continue
         key = (tag, attrs)
         element = cache.get(key) or cache.setdefault(key, _element(tag, attrs))
         stack.append(element)
+        foreign.append(tag in FOREIGN or around and tag not in HTML_AGAIN)
         links += tag == "a"
         unseen += tag in UNSEEN
     flush()

@@ -27,6 +27,27 @@ def test_blocks():
     assert texts("") == texts("<!-- open") == texts("<script>open") == texts("<p> \n&nbsp;</p>") == []
 
 
+def test_head_ends_without_its_tag():
+    page = "<html><head><title>t</title><body><article><p>text</p></article></body></html>"
+    assert texts(page) == ["text"]
+    story = page.replace("<p>text</p>", "<h1>A title</h1><p>First paragraph of the story.</p>")
+    assert html_crf.main_text(story, html_crf.default_model()) == "A title\n\nFirst paragraph of the story."
+    assert texts("<head><meta charset=utf-8><style>x</style><script>y</script><p>text") == ["text"]
+    assert texts("<head><title>t</title>\n text") == ["text"]
+    assert texts("<head><noscript><style>x</style><body><p>text") == ["text"]
+    assert texts("<head><template><p>no</p></template><link href=x><noscript><img src=y></noscript></head><p>text") == ["text"]
+    assert texts("<head><title>t</title><br>text") == ["text"]
+
+
+def test_self_closed_foreign_elements():
+    page = "<body><article><h1>A title</h1><svg class='icon'/><p>First paragraph of the story.</p><math/><p>Short.</p></article></body>"
+    assert html_crf.main_text(page, html_crf.default_model()) == "A title\n\nFirst paragraph of the story.\n\nShort."
+    assert texts("<div><svg viewBox=0 /><p>one</p></div>") == ["one"]
+    assert texts("<div><svg><title/><g/><use href='#a'/></svg>one</div>") == ["one"]
+    assert texts("<div><svg href=a/>no</svg>one</div>") == ["one"]  # the slash is the value's
+    assert texts("<div><canvas/>no</canvas>one</div>") == ["one"]  # HTML elements aren't ended by it
+
+
 def test_hostile_pages_end():
     assert texts('<a "' * 2000 + "x")
     assert len(texts("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
