@@ -36,11 +36,16 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 FOREIGN = frozenset({"svg", "math"})
 HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 
+# A tag's end is in "end" if it has few attributes and short values; _Tags finds it otherwise.
 _TOKEN = re.compile(
-    r"<!--(?P<comment>)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]{0,65536}\"|'[^']{0,65536}'|[^'\">])*+|[^>]*)>|<[!?/][^>]*>"
+    r"<!--(?P<comment>)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+    r"(?:(?P<attrs>(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]{0,1024}+\"|'[^']{0,1024}+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=))){0,32}+[\s/]*+)(?P<end>>))?+"
+    r"|<[!?/][^>]*>"
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME_AND_VALUE = re.compile(r"[\s/]*+(?:(?P<end>>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(?P<quote>[\"'])|[^\s>\"'][^\s>]*+)?+)?+)")
+_ATTR = re.compile(r"(?<![^\s\"'/>=])([^\s\"'/>=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _WORDS = re.compile(r"[a-z]+")
+_LAST_WORD = re.compile(r"(?<![a-zA-Z-])[a-zA-Z-]*+$")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -63,16 +68,50 @@ class Block:
 def _element(tag: str, attrs: str) -> Element:
     if "=" not in attrs:
         return Element(tag, (), bool(re.search(r"\bhidden\b", attrs)))
-    found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+    found = {_LAST_WORD.search(k)[0].lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     words: list[str] = []
     for key in ("class", "id", "role", "itemprop"):
         if key in found:
             words += _WORDS.findall(_CAMEL.sub(" ", html.unescape(found[key])).lower())
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden", "").lower() == "true"
+    if "hidden" in attrs:
+        attrs = _ATTR.sub(lambda m: m[0] if m[1].lower() in ("class", "id", "role", "itemprop") else " ", attrs)
     return Element(tag, tuple(dict.fromkeys(words)), hidden or bool(re.search(r"\shidden(?=\s|$)", attrs)))
 
 
+class _Tags:
+    """Ends of a page's tags, whatever the length of their values, in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.lasts = {q: page.rfind(q) for q in "\"'"}
+        self.open_ended: set[int] = set()  # places after values from where no tag ends
+
+    def end(self, at: int) -> int:
+        """The place of the '>' of the tag whose attributes start here, -1 if there is none.
+
+        With a value whose quote is never closed, the tag ends at the first '>'.
+        """
+        if self.last < at:
+            return -1
+        seen, place = [], at
+        while m := _NAME_AND_VALUE.match(self.page, place):
+            place = m.end()
+            if m["end"]:
+                return place - 1
+            if m["quote"]:
+                if self.lasts[m["quote"]] < place:
+                    break
+                place = self.page.find(m["quote"], place) + 1
+                if place in self.open_ended:
+                    break
+                seen.append(place)
+        self.open_ended.update(seen)
+        return self.page.find(">", at)
+
+
 def _self_closed(attrs: str) -> bool:
     """Whether the slash at the end is the tag's, not an unquoted value's."""
     if not attrs.endswith("/"):
@@ -82,7 +121,7 @@ def _self_closed(attrs: str) -> bool:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Text in UNSEEN elements and in comments is none."""
+    """The page's blocks in order. Text in UNSEEN elements, in comments and in attributes of any length is none."""
     blocks: list[Block] = []
     stack: list[Element] = []
     foreign: list[bool] = []  # whether '/>' ends what stands in the element of the stack
@@ -90,6 +129,7 @@ def leaf_blocks(page: str) -> list[Block]:
     path: tuple[Element, ...] = ()  # where the block's first text stands
     linked = links = unseen = 0
     cache: dict[tuple[str, str], Element] = {}
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked, path
@@ -113,7 +153,11 @@ def leaf_blocks(page: str) -> list[Block]:
         mark = page.find("<", at)
         if mark < 0:
             mark = end
-        m = _TOKEN.match(page, mark) if mark < end else None
+        m = _TOKEN.match(page, mark) if mark <= tags.last or page.startswith("<!--", mark) else None
+        after = m.end() if m else end
+        if m and m["name"] and not m["end"]:
+            after = tags.end(m.end()) + 1
+            m = m if after else None
         stop = mark if m or mark == end else mark + 1
         if stop > at and stack and stack[-1].tag == "head" and not page[at:stop].isspace():
             pop_to(len(stack) - 1)
@@ -129,7 +173,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if not m:
             at = stop
             continue
-        at = m.end()
+        at = after
         if m["comment"] is not None:
             close = page.find("-->", max(mark + 2, at - 2))
             at = end if close < 0 else close + 3
@@ -190,7 +234,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        attrs = m["attrs"] or ""
+        attrs = page[m.end("name") : after - 1]
         around = bool(foreign) and foreign[-1]
         if attrs.endswith("/") and (tag in ("path", "circle", "rect") or (around or tag in FOREIGN) and _self_closed(attrs)):
             continue

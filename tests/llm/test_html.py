@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,30 @@ def test_self_closed_foreign_elements():
     assert texts("<div><canvas/>no</canvas>one</div>") == ["one"]  # HTML elements aren't ended by it
 
 
+def test_long_values():
+    value = "<p>no</p> class=ad hidden it's " * 3000
+    for name in ("srcdoc", "data-json", "data-1"):
+        page = f'<article><div {name}="{value}"><p>one</p></div><p {name}=x>two</article>'
+        blocks = leaf_blocks(page)
+        assert [b.text for b in blocks] == ["one", "two"]
+        assert not any(e.words or e.hidden for b in blocks for e in b.path)
+    many = " ".join(f"a{i}='>'" for i in range(100))
+    assert texts(f"<p {many}>one</p><p {many} class='{value.replace(chr(39), '')}' hidden>two") == ["one", "two"]
+    # A quote that opens no value is none; one that is never closed ends with the tag.
+    assert texts("<p it's>one</p>" + "<p>two</p>" * 9000 + "<p>it's") == ["one"] + ["two"] * 9000 + ["it's"]
+    assert texts('<p title="open>one</p><p>two') == ["one", "two"]
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<a x='>", '<a y=">" ', "<a b ", "<a " + "b='' " * 40, "<svg/><g a=b/>", "</p x='", "<p a" + " " * 50, "<math><annotation-xml><p>"])
+@pytest.mark.parametrize("end", ["", ">", "'", 'z="', "z='>"])
+def test_hostile_tags_end(part, end):
+    size = 300_000
+    start = time.process_time()
+    leaf_blocks("<p>" + part * (size // len(part)) + end)
+    leaf_blocks(f"<p d1=\"{'a' * size}\" {'b' * size} {'= ' * size} c='{'x=' * size}'>")
+    assert time.process_time() - start < 20
+
+
 def test_hostile_pages_end():
     assert texts('<a "' * 2000 + "x")
     assert len(texts("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
