@@ -9,8 +9,14 @@ from dataclasses import dataclass
 # Element classes of HTML.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noframes iframe noembed xmp".split())
-UNSEEN = frozenset("head script style noscript template svg math select datalist object canvas audio video title textarea".split())
-INLINE = frozenset(
+#: Forms of a formula beside the one that is shown.
+ANNOTATION = frozenset({"annotation", "annotation-xml"})
+UNSEEN = ANNOTATION | frozenset("head script style noscript template svg select datalist object canvas audio video title textarea".split())
+MATHML = frozenset(
+    "math maction maligngroup malignmark menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+INLINE = MATHML | ANNOTATION | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr nobr".split()
 )
@@ -29,12 +35,13 @@ SIBLINGS = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-_SCOPE = frozenset({"table", "td", "th", "button", "object", "caption", "html"})
+_SCOPE = frozenset({"annotation-xml", "table", "td", "th", "button", "object", "caption", "html"})
 #: What may stand in head; anything else ends it, as its end tag may be left out.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
-#: Elements inside which '/>' ends an element, and those inside them that hold HTML again.
+#: Elements inside which '/>' ends an element, those inside them that hold HTML again, and those that end them all.
 FOREIGN = frozenset({"svg", "math"})
 HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu ol p pre table ul".split())
 
 # A tag's end is in "end" if it has few attributes and short values; _Tags finds it otherwise.
 _TOKEN = re.compile(
@@ -127,12 +134,14 @@ def leaf_blocks(page: str) -> list[Block]:
     foreign: list[bool] = []  # whether '/>' ends what stands in the element of the stack
     text: list[str] = []
     path: tuple[Element, ...] = ()  # where the block's first text stands
-    linked = links = unseen = 0
+    linked = links = unseen = annotations = 0
     cache: dict[tuple[str, str], Element] = {}
     tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked, path
+        if annotations:
+            return
         if text:
             whole = " ".join("".join(text).split())
             if whole:
@@ -141,12 +150,13 @@ def leaf_blocks(page: str) -> list[Block]:
         linked, path = 0, ()
 
     def pop_to(size: int) -> None:
-        nonlocal links, unseen
+        nonlocal links, unseen, annotations
         while len(stack) > size:
             e = stack.pop()
             foreign.pop()
             links -= e.tag == "a"
             unseen -= e.tag in UNSEEN
+            annotations -= e.tag in ANNOTATION
 
     at, end = 0, len(page)
     while at < end:
@@ -189,11 +199,11 @@ def leaf_blocks(page: str) -> list[Block]:
                 continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
-                    if tag not in INLINE:
-                        flush()
-                    elif any(e.tag not in INLINE for e in stack[i:]):
+                    if tag in INLINE and tag not in ANNOTATION and tag != "math" and any(e.tag not in INLINE for e in stack[i:]):
                         break  # an inline end tag doesn't end the blocks inside
                     pop_to(i)
+                    if tag not in INLINE:
+                        flush()
                     break
             continue
         if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
@@ -205,6 +215,11 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
                 if stack[i].tag in ("template", "body"):
                     break
+        if tag in BREAKS_OUT and foreign and foreign[-1]:
+            size = len(stack)
+            while size and foreign[size - 1]:
+                size -= 1
+            pop_to(size)
         if tag == "br":
             text.append(" ")
             continue
@@ -221,7 +236,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 ends, within = SIBLINGS[tag]
                 first = None
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in within:
+                    if stack[i].tag in within or stack[i].tag == "annotation-xml":
                         break
                     if stack[i].tag in ends:
                         first = i
@@ -251,5 +266,7 @@ def leaf_blocks(page: str) -> list[Block]:
         foreign.append(tag in FOREIGN or around and tag not in HTML_AGAIN)
         links += tag == "a"
         unseen += tag in UNSEEN
+        annotations += tag in ANNOTATION
+    pop_to(0)
     flush()
     return blocks

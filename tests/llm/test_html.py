@@ -73,6 +73,17 @@ def test_hostile_tags_end(part, end):
     assert time.process_time() - start < 20
 
 
+def test_formulas_are_text():
+    formula = "<math display=inline><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>&lt;</mo><mi>y</mi><mspace/></mrow>{}</semantics></math>"
+    for note in ("", '<annotation encoding="application/x-tex">x^2</annotation>', "<annotation-xml encoding=text/html><p>no<li>no</annotation-xml>", "<annotation-xml><apply><lt/><ci>no</ci></apply></annotation-xml>"):
+        assert texts(f"<ul><li>As <b>{formula.format(note)}</b>, it ends.<li>two</ul>") == ["As x2<y, it ends.", "two"]
+    page = f"<article><h1>A title</h1><p>We know that {formula.format('<annotation>x^2</annotation>')} holds in this story.</p></article>"
+    assert html_crf.main_text(page, html_crf.default_model()) == "A title\n\nWe know that x2<y holds in this story."
+    assert texts("<p>a <math><mi>x</mi><annotation>no<p>b") == ["a x", "b"]
+    assert texts("<p>a <math><mi>x</mi><annotation-xml><p>no") == ["a x"]
+    assert texts("<p>a <math><mi>x</mi><annotation-xml><p>no</math> b") == ["a x b"]
+
+
 def test_hostile_pages_end():
     assert texts('<a "' * 2000 + "x")
     assert len(texts("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
