@@ -9,8 +9,14 @@ the target, its quota, is met by a part of its documents:
   documents; the quota is split exactly over the shards by a tree of fan-out
   ``FAN_OUT``, each node drawing its children's shares from the multivariate
   hypergeometric law, as if the quota's words had been drawn without replacement;
-* in a shard, documents stand in a random permutation, and it draws them in that
-  order while they fit its quota (a document that doesn't fit is passed over).
+* in a shard, documents stand in a random permutation around a circle of as many
+  places as they have words, and the draw is a random arc of the quota's length: a
+  document goes in where one place of it does, so that each has the probability
+  quota / words whatever its length. Documents that fit into the difference are
+  then added or dropped until the draw has the quota's words;
+* a document longer than the quota is never dropped, and nothing shorter is taken
+  beside it. The draws without such a document aim so much below the quota as those
+  with one are above it, so that the quota is the mean.
 
 Draws are hashes of seed, source, node and document, so reruns agree, and no
 task needs more than one shard's documents or one node's children. Everything is
@@ -142,7 +148,8 @@ def _split(quota: DataFrame, leaves: DataFrame, deepest: int, seed: int) -> Data
 def draws(rows: DataFrame, seed: int, max_epochs: int = 3) -> tuple[DataFrame, DataFrame]:
     """(sources, shards): per source its target, whole epochs and shard count; per shard what it draws.
 
-    A shard's draw is a cut in its permutation and the few documents beyond the cut that still fit.
+    A shard's draw is a range of its permutation, round its end where `round` is
+    set, with the documents of `more` and without those of `less`.
     """
     per = targets(rows, max_epochs)
     take = F.floor(F.col("target") + 0.5)
@@ -152,35 +159,77 @@ def draws(rows: DataFrame, seed: int, max_epochs: int = 3) -> tuple[DataFrame, D
     per = materialise(per, "mix-sources")
     placed = place(rows, per, seed)
     blocks = placed.groupBy("sid", "shard", "perm").agg(F.sum("size").alias("words"))
-    shards = blocks.groupBy("sid", "shard").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("perm", "words"))).alias("blocks"))
+    before = F.sum("words").over(Window.partitionBy("sid", "shard").orderBy("perm").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    blocks = blocks.withColumn("before", before)
+    block = F.struct("perm", "words", "before")
+    shards = blocks.groupBy("sid", "shard").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(block)).alias("blocks"))
     shards = materialise(shards, "mix-shards")
     widest = per.agg(F.max("shards")).first()[0] or 1
     deepest = 0
     while FAN_OUT**deepest < widest:
         deepest += 1
     quota = _split(per.select("sid", "quota"), shards.select("sid", "shard", "words"), deepest, seed)
-    start = F.struct(
-        F.col("quota").alias("left"), F.lit(True).alias("open"), F.lit(None).cast("long").alias("cut"), F.array().cast("array<bigint>").alias("more")
-    )
-
-    def draw(a: Column, b: Column) -> Column:
-        fits = b["words"] <= a["left"]
+    drawn = shards.join(quota, ["sid", "shard"])
+    # The arc's ends, and the part of a document before the place that decides on it.
+    drawn = drawn.withColumn("from", _uniform(F.lit(seed), F.lit(4), "sid", "shard") * F.col("words"))
+    drawn = drawn.withColumn("to", F.col("from") + F.col("quota")).withColumn("part", _uniform(F.lit(seed), F.lit(5), "sid", "shard"))
+    drawn = drawn.withColumn("round", F.col("to") > F.col("words"))
+    drawn = drawn.withColumn("to", F.when(F.col("round"), F.col("to") - F.col("words")).otherwise(F.col("to")))
+
+    def at(b: Column) -> Column:
+        return b["before"] + b["words"] * F.col("part")
+
+    def perms(kept: Column) -> Column:
+        return F.transform(kept, lambda b: b["perm"])
+
+    drawn = drawn.withColumn("first", F.array_min(perms(F.filter("blocks", lambda b: at(b) >= F.col("from")))))
+    drawn = drawn.withColumn("last", F.array_max(perms(F.filter("blocks", lambda b: at(b) < F.col("to")))))
+
+    def longer(b: Column) -> Column:
+        return b["words"] > F.col("quota")
+
+    def words(kept: Column) -> Column:
+        return F.aggregate(kept, F.lit(0).cast("long"), lambda a, b: a + b["words"])
+
+    long = F.filter("blocks", longer)
+    rest = (F.col("words") - words(long)) / F.greatest(F.col("words") - F.size(long) * F.col("quota"), F.lit(1))
+    aim = F.when(F.exists("blocks", lambda b: longer(b) & _within(b["perm"])) | (F.size(long) == 0), F.col("quota"))
+    drawn = drawn.withColumn("aim", F.when(F.col("quota") == 0, 0).otherwise(F.coalesce(aim, F.round(F.col("quota") * rest))).cast("long"))
+    none = F.array().cast("array<bigint>")
+    start = F.struct((F.col("aim") - words(F.filter("blocks", lambda b: _within(b["perm"])))).alias("left"), none.alias("more"), none.alias("less"))
+
+    def mend(a: Column, b: Column) -> Column:
+        inside, fits = _within(b["perm"]), ~longer(b) & (b["words"] > 0)
+        add, drop = fits & ~inside & (b["words"] <= a["left"]), fits & inside & (b["words"] <= -a["left"])
         return F.struct(
-            F.when(fits, a["left"] - b["words"]).otherwise(a["left"]).alias("left"),
-            (a["open"] & fits).alias("open"),
-            F.when(a["open"] & fits, b["perm"]).otherwise(a["cut"]).alias("cut"),
-            F.when(~a["open"] & fits, F.concat(a["more"], F.array(b["perm"]))).otherwise(a["more"]).alias("more"),
+            F.when(add, a["left"] - b["words"]).when(drop, a["left"] + b["words"]).otherwise(a["left"]).alias("left"),
+            F.when(add, F.concat(a["more"], F.array(b["perm"]))).otherwise(a["more"]).alias("more"),
+            F.when(drop, F.concat(a["less"], F.array(b["perm"]))).otherwise(a["less"]).alias("less"),
         )
 
-    drawn = shards.join(quota, ["sid", "shard"]).withColumn("drawn", F.aggregate("blocks", start, draw))
-    cut, more = F.col("drawn.cut"), F.col("drawn.more")
-    # One document more, the smallest, if that brings the shard nearer to its quota.
-    others = F.filter("blocks", lambda b: (cut.isNull() | (b["perm"] > cut)) & ~F.array_contains(more, b["perm"]))
-    least = F.array_min(F.transform(others, lambda b: F.struct(b["words"], b["perm"].alias("perm"))))
-    drawn = drawn.withColumn("least", least)
-    nearer = F.col("least").isNotNull() & (F.col("least.words") < F.col("drawn.left") * 2)
-    more = F.when(nearer, F.concat(more, F.array(F.col("least.perm")))).otherwise(more)
-    return per, drawn.select("sid", "shard", cut.alias("cut"), more.alias("more"))
+    drawn = drawn.withColumn("drawn", F.aggregate("blocks", start, mend))
+    left, more, less = F.col("drawn.left"), F.col("drawn.more"), F.col("drawn.less")
+
+    def smallest(inside: bool) -> Column:
+        changed = less if inside else more
+        others = F.filter(
+            "blocks", lambda b: (_within(b["perm"]) == inside) & ~longer(b) & (b["words"] > 0) & ~F.array_contains(changed, b["perm"])
+        )
+        return F.array_min(F.transform(others, lambda b: F.struct(b["words"], b["perm"].alias("perm"))))
+
+    # One document more or fewer, the smallest, if that brings the shard nearer to its aim.
+    drawn = drawn.withColumn("least", F.when(left > 0, smallest(False)).when(left < 0, smallest(True)))
+    nearer = F.coalesce(F.col("least.words") < F.abs(left) * 2, F.lit(False))
+    one = F.array(F.col("least.perm"))
+    more = F.when(nearer & (left > 0), F.concat(more, one)).otherwise(more)
+    less = F.when(nearer & (left < 0), F.concat(less, one)).otherwise(less)
+    return per, drawn.select("sid", "shard", "round", "first", "last", more.alias("more"), less.alias("less"))
+
+
+def _within(perm: Column) -> Column:
+    """Whether the place in the permutation is in the shard's range."""
+    after, until = F.coalesce(perm >= F.col("first"), F.lit(False)), F.coalesce(perm <= F.col("last"), F.lit(False))
+    return F.when(F.col("round"), after | until).otherwise(after & until)
 
 
 def place(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -193,7 +242,8 @@ def place(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 def _times(placed: DataFrame, shards: DataFrame) -> DataFrame:
     """placed with `times`, how often the mix takes the row."""
     joined = placed.join(shards, ["sid", "shard"])
-    extra = F.coalesce(F.col("perm") <= F.col("cut"), F.lit(False)) | F.array_contains("more", F.col("perm"))
+    perm = F.col("perm")
+    extra = _within(perm) & ~F.array_contains("less", perm) | F.array_contains("more", perm)
     return joined.withColumn("times", F.col("epochs") + extra.cast("long"))
 
 

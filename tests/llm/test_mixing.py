@@ -73,6 +73,20 @@ def test_many_shards_and_levels(spark, frame, monkeypatch):
         assert abs(taken[s] - t) <= 0.01 * t + 5
 
 
+def test_long_documents_have_their_share(spark, frame):
+    # Quotas are 550 of 1,100 words, or none: the document of 800 words fits none of them.
+    rows = [(40 * s + i, "w " * (20 if i else 800), "en", f"s{s:03}", 0) for s in range(600) for i in range(16)]
+    docs = frame(rows, DOCS)
+    got = run(spark, docs)
+    taken, targets = check(got, docs.collect())
+    sources = [s for s, t in targets.items() if t % 1100]
+    extra = {(r["doc_id"] // 40, r["doc_id"] % 40): r["taken"] // r["size"] - int(r["target"] // 1100) for r in got if r["target"] % 1100}
+    assert len(sources) == 400 and set(extra.values()) == {0, 1}
+    assert 160 <= sum(n for (_, i), n in extra.items() if i == 0) <= 240
+    assert 0.45 <= np.mean([n for (_, i), n in extra.items() if i]) <= 0.55
+    assert abs(np.mean([taken[s] - targets[s] for s in sources])) <= 60
+
+
 def test_odd_rows(spark, frame):
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "x y z", "en", None, 0), (4, "x " * 50_000, "en", "b", 0), (5, "one two", "en", "é", 0), (None, "n m", "en", "b", 0)]
     docs = frame(rows, DOCS)
