@@ -29,7 +29,7 @@ target 0; empty tables give empty results.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +40,10 @@ from .runtime import materialise
 #: Documents of one shard, on average.
 SHARD_ROWS = 2048
 FAN_OUT = 32
-#: Up to this spread a child's share is drawn by exact inversion; beyond, from the rounded normal law.
+#: Up to this spread a child's share is drawn by inversion; beyond, by rejection, exactly too.
 EXACT_SIGMA = 500.0
+#: Draws of the rejection before it gives up. About a quarter are rejected, so that chance comes to 1e-35.
+TRIES = 64
 #: What stands between words.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -79,9 +81,65 @@ def _hypergeometric(total: Column, mine: Column, drawn: Column, *key: Column) ->
         ),
         lambda a: a["at"],
     )
-    normal = F.sqrt(F.log(_uniform(F.lit(2), *key)) * -2) * F.cos(_uniform(F.lit(3), *key) * (2 * math.pi))
-    rounded = F.least(most, F.greatest(least, F.round(mean + sigma * normal).cast("long")))
-    return F.when(least >= most, most).when(sigma <= EXACT_SIGMA, exact).otherwise(rounded).cast("long")
+    return F.when(least >= most, most).when(sigma <= EXACT_SIGMA, exact).otherwise(_by_rejection(total, mine, drawn, sigma, *key)).cast("long")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _log_weight(total: Column, mine: Column, drawn: Column, x: Column) -> Column:
+    """Log of the hypergeometric probability of x less a constant, accurate where all four cells are large.
+
+    log(c!) is c log c - c + log(2 pi c) / 2 and a series, and for what a cell c
+    expects, e, c log(c / e) + e - c is a series in (c - e) / (c + e) (Loader's), so
+    that no large numbers cancel.
+    """
+    t, k, n = (c.cast("double") for c in (total, mine, drawn))
+    x = x.cast("double")
+
+    def cell(c: Column, e: Column, off: Column) -> Column:
+        v = off / (c + e)
+        square = v * v
+        series = F.lit(0.0)
+        for j in range(8, 0, -1):
+            series = (series + 1.0 / (2 * j + 1)) * square
+        return off * v + c * 2 * v * series + F.log(c) / 2 + F.lit(1 / 12) / c - F.lit(1 / 360) / (c * c * c)
+
+    def four(off: Column) -> Column:
+        mean = n * k / t
+        cells = [(x, mean, off), (k - x, k - mean, -off), (n - x, n - mean, -off), (t - k - n + x, t - k - n + mean, off)]
+        return -sum((cell(*c) for c in cells[1:]), cell(*cells[0]))
+
+    return _let(x - n * k / t, four)
+
+
+def _by_rejection(total: Column, mine: Column, drawn: Column, sigma: Column, *key: Column) -> Column:
+    """The same by ratio of uniforms (Stadlober's HRUA), for large spreads."""
+    t, k, n = (c.cast("double") for c in (total, mine, drawn))
+    least, most = F.greatest(F.lit(0), drawn - (total - mine)), F.least(drawn, mine)
+    centre = n * k / t + 0.5
+    # The hat's width: 2 sqrt(2 / e) times the spread, and a constant for the skewness.
+    width = F.sqrt(sigma * sigma + 0.5) * 1.7155277699214135 + 0.8989161620588988
+    mode = F.floor((k + 1) * ((n + 1) / (t + 2))).cast("long")
+
+    def tried(top: Column) -> Column:
+        def one(i: Column) -> Column:
+            u = _uniform(F.lit(2), i, *key)
+            place = F.floor(centre + width * (_uniform(F.lit(3), i, *key) - 0.5) / u).cast("long")
+
+            def accepted(x: Column) -> Column:
+                # Beyond 16 spreads the probability is below 1e-50.
+                near = (x >= least) & (x <= most) & (F.abs(x - centre) <= sigma * 16)
+                return F.when(near, F.when(F.log(u) * 2 <= _log_weight(total, mine, drawn, x) - top, x))
+
+            return _let(place, accepted)
+
+        nothing = F.lit(None).cast("long")
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), nothing, lambda a, i: F.when(a.isNotNull(), a).otherwise(one(i)))
+
+    return F.coalesce(_let(_log_weight(total, mine, drawn, mode), tried), mode)
 
 
 def sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:

@@ -116,6 +116,45 @@ def test_hypergeometric_law(spark):
         assert abs(seen.get(k, 0) - p) < 0.03
 
 
+def test_beyond_the_switch_is_the_same_law(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT_SIGMA", 0.0)
+    c = lambda x: F.lit(x).cast("long")
+    draws = spark.range(50_000).select(mixing._hypergeometric(c(1000), c(100), c(100), F.col("id")).alias("k"))
+    seen = {r["k"]: r["count"] / 50_000 for r in draws.groupBy("k").count().collect()}
+    law = {k: math.comb(100, k) * math.comb(900, 100 - k) / math.comb(1000, 100) for k in range(101)}
+    off = np.cumsum([seen.get(k, 0) - law[k] for k in range(101)])
+    assert np.abs(off).max() < 1.63 / math.sqrt(50_000)
+
+
+@pytest.mark.parametrize("total,mine,drawn", [(10**7, 4 * 10**6, 6 * 10**6), (3 * 10**8, 2 * 10**6, 10**8), (10**12, 10**11, 5 * 10**11)])
+def test_large_shares_follow_the_law(spark, total, mine, drawn):
+    c = lambda x: F.lit(x).cast("long")
+    mean = drawn * mine / total
+    sigma = math.sqrt(mean * (total - mine) / total * (total - drawn) / (total - 1))
+    assert sigma > mixing.EXACT_SIGMA
+    mode = (mine + 1) * (drawn + 1) // (total + 2)
+    xs = [round(mode + z * sigma) for z in (-15, -3, -1, 0, 0.5, 2, 15)]
+    frame = spark.createDataFrame([(x,) for x in [mode, *xs]], "x bigint")
+    weights = {r["x"]: r["w"] for r in frame.select("x", mixing._log_weight(c(total), c(mine), c(drawn), F.col("x")).alias("w")).collect()}
+
+    def ratio(x):
+        """log p(x + 1) / p(x)"""
+        return math.log((mine - x) * (drawn - x)) - math.log((x + 1) * (total - mine - drawn + x + 1))
+
+    if sigma < 2000:  # sums over single steps
+        for x in xs:
+            steps = math.fsum(map(ratio, range(mode, x))) if x >= mode else -math.fsum(map(ratio, range(x, mode)))
+            assert math.isclose(weights[x] - weights[mode], steps, abs_tol=1e-8)
+    # The hat is above the law everywhere.
+    width = 1.7155277699214135 * math.sqrt(sigma**2 + 0.5) + 0.8989161620588988
+    assert all(abs(x + s - mean - 0.5) * math.exp((weights[x] - weights[mode]) / 2) <= width / 2 for x in xs for s in (0, 1))
+    draws = np.array([r["k"] for r in spark.range(4000).select(mixing._hypergeometric(c(total), c(mine), c(drawn), F.col("id")).alias("k")).collect()])
+    z = np.sort((draws + 0.5 - mean) / sigma)
+    law = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    assert np.abs(law - np.arange(len(z)) / len(z)).max() < 1.63 / math.sqrt(len(z))
+    assert abs(z.mean()) < 0.05 and abs(z.std() - 1) < 0.05
+
+
 @pytest.mark.parametrize("total,mine,drawn", [(10, 0, 5), (10, 10, 5), (10, 4, 0), (10, 4, 10), (10**12, 10**11, 5 * 10**11), (7, 3, 6)])
 def test_hypergeometric_bounds(spark, total, mine, drawn):
     c = lambda x: F.lit(x).cast("long")
