@@ -9,8 +9,9 @@ non-negative unbiased risk with logistic loss:
 
 Where the second part falls below zero, the step goes against it (Kiryo et al.,
 2017). Only documents with crc32(doc_id as text) mod 5 other than 0 are learnt
-from. Training takes about TRAIN_ROWS positives and TRAIN_ROWS unlabelled
-documents, chosen by hash, and twice that at most. All documents are then scored
+from. Means and scales of the statistics are those of all of these. The risk takes
+about TRAIN_ROWS positives and TRAIN_ROWS unlabelled documents, chosen by hash, and
+twice that at most. All documents are then scored
 in one pass over their whole texts, without a shuffle. Labels, lang, source and
 doc_id are no inputs.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ EPOCHS = 60
 #: Characters that a worker looks at together.
 SLICE = 1_000_000
 BATCH = 512
+#: Statistics are summed in parts of 1 / UNIT.
+UNIT = 2**16
 
 # Fixed value: groups of bytes whose shares are features.
 BYTE_GROUPS = {
@@ -94,9 +98,10 @@ def _train_fold(key: Column) -> Column:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, seed: int = 3):
+    def __init__(self, x: np.ndarray, seed: int = 3, spread: tuple[np.ndarray, np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        mean, deviation = spread or (x.mean(axis=0), x.std(axis=0))
+        self.mean, self.scale = mean, deviation + 1e-3
         self.w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
 
     def prepared(self, x: np.ndarray) -> np.ndarray:
@@ -114,10 +119,17 @@ def _sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3, epochs: int = EPOCHS) -> Model:
-    """Minimise the non-negative risk with Adam."""
+def fit(
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    prior: float,
+    seed: int = 3,
+    epochs: int = EPOCHS,
+    spread: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Model:
+    """Minimise the non-negative risk with Adam. Features are scaled by spread (means, deviations), else by their own."""
     rng = np.random.default_rng(seed)
-    model = Model(np.vstack([positive, unlabelled]).astype(np.float64), seed)
+    model = Model(np.vstack([positive, unlabelled]).astype(np.float64), seed, spread)
     p, u = model.prepared(positive.astype(np.float64)), model.prepared(unlabelled.astype(np.float64))
     first = [np.zeros_like(w) for w in model.w]
     second = [np.zeros_like(w) for w in model.w]
@@ -145,24 +157,60 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return model
 
 
-def _run_features(spark: SparkSession, rows: DataFrame) -> np.ndarray:
-    """Statistics of rows (id, text), few enough for the driver, in order of a hash of the id."""
+def _run_features(spark: SparkSession, rows: DataFrame, most: int) -> np.ndarray:
+    """Statistics of rows (id, text), `most` of them at most, in order of a hash of the id.
+
+    Where there are more, a hash of id and text chooses, so that every run chooses the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_batches(batch, "text", SLICE):
                 f = features(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * N_FEATURES, pa.int32()), pa.array(f.ravel(), pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, len(texts)), lists], ["h", "f"])
-
-    hashed = rows.select(F.xxhash64(F.lit(7), "id").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    got = hashed.mapInArrow(run, "h bigint, f array<float>").collect()
-    return np.array([r["f"] for r in sorted(got)], dtype=np.float32).reshape(-1, N_FEATURES)
-
+                hashes = [batch.column(c).slice(first, len(texts)) for c in ("h", "r")]
+                yield pa.RecordBatch.from_arrays([*hashes, lists], ["h", "r", "f"])
+
+    text = F.coalesce("text", F.lit(""))
+    hashed = rows.select(F.xxhash64(F.lit(7), "id").alias("h"), F.xxhash64(F.lit(8), "id", text).alias("r"), text.alias("text"))
+    different = hashed.select("h", "r").distinct().count()
+    if different > most:
+        # A quarter more than needed, as the share is met only about.
+        hashed = hashed.filter(F.shiftrightunsigned("r", 11).cast("double") / 2.0**53 < 1.25 * most / different + 1000 / different)
+    # Copies are counted, so that the driver sees each document once.
+    found = hashed.mapInArrow(run, "h bigint, r bigint, f array<float>").groupBy("r", "h").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("n"))
+    got, left = [], most
+    for r in sorted(found.collect(), key=lambda r: (r["r"] % 2**64, r["h"])):
+        got += [(r["h"], r["f"])] * min(r["n"], left)
+        left = most - len(got)
+    return np.array([f for _, f in sorted(got)], dtype=np.float32).reshape(-1, N_FEATURES)
+
+
+def _spread(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Number of docs (text), and means and deviations of the statistics of all of them.
+
+    Sums are of whole numbers, so that they don't depend on the order of rows.
+    """
 
-def _at_most(rows: DataFrame, most: int) -> DataFrame:
-    """rows, or so many of them where one id is repeated very often."""
-    return rows if rows.select("id").count() <= most else rows.limit(most)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares = 0, [0] * N_FEATURES, [0] * N_FEATURES
+        for batch in batches:
+            for _, texts in text_batches(batch, "text", SLICE):
+                for part in range(0, len(texts), 4096):
+                    f = np.rint(features(texts[part : part + 4096]).astype(np.float64) * UNIT).astype(np.int64)
+                    n += len(f)
+                    sums = [a + int(b) for a, b in zip(sums, f.sum(axis=0), strict=True)]
+                    squares = [a + int(b) for a, b in zip(squares, (f * f).sum(axis=0), strict=True)]
+        whole = pa.decimal128(28, 0)
+        columns = [pa.array(map(Decimal, x), whole) for x in ([n] * N_FEATURES, sums, squares)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), *columns], ["feature", "n", "sums", "squares"])
+
+    parts = docs.select("text").mapInArrow(run, "feature int, n decimal(28,0), sums decimal(28,0), squares decimal(28,0)")
+    rows = sorted(parts.groupBy("feature").agg(F.sum("n"), F.sum("sums"), F.sum("squares")).collect())
+    totals = [[int(x) for x in r[1:]] for r in rows] or [[0, 0, 0]] * N_FEATURES
+    mean = [s / max(1, n) / UNIT for n, s, _ in totals]
+    deviation = [((n * q - s * s) / max(1, n * n)) ** 0.5 / UNIT for n, s, q in totals]
+    return totals[0][0], (np.array(mean), np.array(deviation))
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Model | None, float]:
@@ -178,13 +226,14 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: i
     trusted = known.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct().orderBy(hashed, "id").limit(train_rows)
     fold = docs.select(F.col("doc_id").alias("id"), "text").filter(_train_fold(F.col("id")))
     # At most train_rows ids, so their size is bounded.
-    positive = _run_features(spark, _at_most(fold.join(F.broadcast(trusted), "id"), 2 * train_rows))
-    share = min(1.0, train_rows / max(1, fold.select("id").count()))
+    positive = _run_features(spark, fold.join(F.broadcast(trusted), "id"), 2 * train_rows)
+    rows, spread = _spread(fold)
+    share = min(1.0, train_rows / max(1, rows))
     chosen = fold.filter((F.shiftrightunsigned(hashed, 11).cast("double") / 2.0**53) < share)
-    unlabelled = _run_features(spark, _at_most(chosen, 2 * train_rows))
+    unlabelled = _run_features(spark, chosen, 2 * train_rows)
     if not len(positive) or not len(unlabelled):
         return None, prior
-    return fit(positive, unlabelled, prior), prior
+    return fit(positive, unlabelled, prior, spread=spread), prior
 
 
 def _score(texts: list[str | None], model: Model | None, prior: float) -> np.ndarray:

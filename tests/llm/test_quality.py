@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 from oracle import SMALL
+from pyspark.sql import functions as F
 
 from quillstream.llm import pu_quality
 
@@ -38,6 +39,24 @@ def test_gradient_of_the_risk():
     assert model.score(rng.normal(-1, 1, (300, pu_quality.N_FEATURES))).mean() < 0.1
 
 
+def test_scales_are_of_all_documents(spark):
+    docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    model, _ = pu_quality.learn(spark, docs, labels, train_rows=50)
+    texts = [r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    f = pu_quality.features(texts).astype(np.float64)
+    assert np.allclose(model.mean, f.mean(axis=0), atol=1e-4) and np.allclose(model.scale, f.std(axis=0) + 1e-3, atol=1e-4)
+
+
+def test_repeated_ids_are_cut_alike(spark, frame):
+    rows = [(1 + i % 3, f"word {i} " * (i % 50 + 1)) for i in range(3000)] + [(3, "same text")] * 500 + [(i, f"text {i}") for i in range(10, 1000)]
+    docs, labels = frame(rows, "doc_id bigint, text string"), frame([(1, 1), (2, 1), (3, 1)], "doc_id bigint, quality int")
+    one, _ = pu_quality.learn(spark, docs, labels, train_rows=100)
+    other, _ = pu_quality.learn(spark, docs.repartition(7).orderBy(F.rand(5)), labels, train_rows=100)
+    assert all(np.array_equal(a, b) for a, b in zip(one.w, other.w, strict=True))
+    found = pu_quality._run_features(spark, docs.withColumnRenamed("doc_id", "id"), 200)
+    assert len(found) == 200 and len(pu_quality._run_features(spark, docs.limit(0).withColumnRenamed("doc_id", "id"), 200)) == 0
+
+
 def test_odd_rows(spark, frame):
     rows = [(1, None), (2, ""), (3, "word " * 100_000), (None, "x"), (1, None), (4, "日本語 ñ")]
     docs = frame([(i, t, "score") for i, t in rows], "doc_id bigint, text string, score string")
