@@ -63,7 +63,9 @@ def test_table(spark):
 
 
 def test_many_shards_and_levels(spark, frame, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_ROWS", 16)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 16)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
     monkeypatch.setattr(mixing, "FAN_OUT", 4)
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 60)), "en", "big" if i % 2 else f"s{i % 5}", 0) for i in range(1500)]
@@ -91,7 +93,7 @@ def test_odd_rows(spark, frame):
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "x y z", "en", None, 0), (4, "x " * 50_000, "en", "b", 0), (5, "one two", "en", "é", 0), (None, "n m", "en", "b", 0)]
     docs = frame(rows, DOCS)
     check(run(spark, docs), docs.collect())
-    assert run(spark, frame([], DOCS)) == []
+    assert run(spark, frame([], DOCS)) == [] and mixing.mixed_documents(spark, frame([], DOCS)).collect() == []
     twice = run(spark, frame([(1, "a b c", "en", "s", 0)] * 2, DOCS))
     assert len(twice) == 2 and len({r["taken"] for r in twice}) == 1
     assert [r["target"] for r in run(spark, frame([(1, "", "en", "s", 0)], DOCS))] == [0.0]
@@ -168,3 +170,72 @@ def test_sizes_and_targets_as_sql(spark):
     _, rows = sql_rows(sql, SMALL)
     found = {(r["doc_id"], r["size"], r["source_size"]) for r in run(spark, spark.read.parquet(f"{SMALL}/documents.parquet"))}
     assert found == set(rows)
+
+
+def unequal(frame):
+    """Sources of 2000, 200 and 100 documents."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(1, 40)), "en", "a" if i < 2000 else "b" if i < 2200 else "c", 0) for i in range(2300)]
+    return frame(rows, DOCS)
+
+
+def test_blocks_are_dealt_exactly(spark, frame, monkeypatch):
+    for name, n in (("BLOCK_ROWS", 4), ("SHARD_BLOCKS", 16), ("FAN_OUT", 3), ("CELL_ROWS", 100)):
+        monkeypatch.setattr(mixing, name, n)
+    _, sources, _ = mixing._plan(unequal(frame), 20, 3)
+    quota = {r["sid"]: r["epochs"] * r["blocks"] + r["thin"] for r in sources.collect()}
+    dealt = mixing.output_shards(sources, 20).collect()
+    total = sum(quota.values())
+    shards = -(-total // 16)
+    assert shards > 9 and all(quota.values())  # two levels at least
+    # Every block of every source is in one shard, and every shard is full.
+    for sid, n in quota.items():
+        assert sorted(d for r in dealt if r["sid"] == sid for d in range(r["lo"], r["lo"] + r["n"])) == list(range(n))
+    size = [sum(r["n"] for r in dealt if r["shard"] == k) for k in range(shards)]
+    assert size == [(k + 1) * total // shards - k * total // shards for k in range(shards)]
+
+
+def test_shares_of_a_shard_follow_the_law(spark, frame, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 10)
+    kind = "sid bigint, epochs bigint, blocks bigint, thin bigint, cells bigint"
+    sources = frame([(1, 1, 1200, 0, 1), (2, 0, 900, 540, 1), (3, 3, 420, 0, 1)], kind)
+    # 300 shards of 10 blocks, out of 3000, of which 1200 are the source's; a shard without any has no row.
+    seen = [r["n"] for r in mixing.output_shards(sources, 4).collect() if r["sid"] == 1]
+    seen += [0] * (300 - len(seen))
+    law = [math.comb(1200, k) * math.comb(1800, 10 - k) / math.comb(3000, 10) for k in range(11)]
+    off = np.cumsum([seen.count(k) / 300 - law[k] for k in range(11)])
+    assert np.abs(off).max() < 1.63 / math.sqrt(300) and sum(seen) == 1200
+
+
+def test_every_shard_holds_all_sources(spark, frame):
+    docs = unequal(frame)
+    rows = run(spark, docs)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    held = {}
+    for r in rows:
+        for shard in r["out_shards"]:
+            held.setdefault(shard, {}).setdefault(source[r["doc_id"]], []).append(r["size"])
+    assert len(held) > 2
+    taken = {s: sum(r["taken"] for r in rows if source[r["doc_id"]] == s) for s in "abc"}
+    for shares in held.values():
+        words = {s: sum(x) for s, x in shares.items()}
+        assert set(words) == set("abc")
+        for s in "abc":
+            assert abs(words[s] / sum(words.values()) - taken[s] / sum(taken.values())) < 0.25
+
+
+def test_mixed_documents_lie_as_dealt(spark, frame):
+    docs = unequal(frame)
+    dealt = {}
+    for r in run(spark, docs):
+        for shard in r["out_shards"]:
+            dealt.setdefault(shard, []).append(r["doc_id"])
+    parts = mixing.mixed_documents(spark, docs).withColumn("part", F.spark_partition_id()).collect()
+    lists = [[r["doc_id"] for r in parts if r["part"] == p] for p in sorted({r["part"] for r in parts})]
+    for ids in lists:  # a partition is its shards one after the other, each in an order of its own
+        while ids:
+            shard = next(k for k, held in dealt.items() if sorted(ids[: len(held)]) == sorted(held))
+            held = dealt.pop(shard)
+            assert ids[: len(held)] != sorted(held)
+            ids = ids[len(held) :]
+    assert not dealt
