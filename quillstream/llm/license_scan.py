@@ -1,27 +1,36 @@
 """License scan over a positional rare-token index, in DataFrame expressions only.
 
-Templates are short licence texts. Their words are counted over all documents,
-which gives every licence word its IDF. The index holds, per template, its key
-phrases as postings (word, template, relative position). A file looks up its
-licence words; of each key phrase only the word of highest IDF, the phrase's
-anchor, is looked up at first. Each occurrence of an anchor proposes a place for
-the phrase (its position less the anchor's relative position), the other
-postings are intersected with the file's words at that place, and the phrase
-counts only if all its words stand there: key phrases are mandatory. A template
-is found when all its key phrases are, in order and within its window of words.
-
-Base phrases are templates of one key phrase, and all their places are counted.
-Nothing is exploded or shuffled per document: a file's licence words are a small
-array in its row. Only the counting of licence words aggregates, with at most
-one row per word and task.
-
-Defined results: a null or empty text has no words, no labels and score 0; its
-first and last word are null. Repeated rows give repeated results.
+Templates are licence notices, given by their key phrases, all mandatory. Words of
+phrases are counted over all documents, which gives every licence word its IDF. The
+index holds postings (word, phrase, relative position): of every phrase those of the
+word of highest IDF, and, in a second list, those of the next. A phrase can only
+stand where its rarest words do, so common licence words are no keys of the index.
+
+A file looks up its words of highest IDF, the keys, in both lists. Each posting found
+proposes a place for a phrase (the word's position less its relative position); the
+proposals of both lists are intersected, and at each place left all words of the
+phrase are verified. A template is found when all its phrases are, in order and within
+its window of words from the first.
+
+The index and the templates are literals of the plan, whose size does not depend on
+their number otherwise: nothing in it is repeated by template. Base phrases are
+templates of one phrase, and all their places are counted. Nothing is exploded or
+shuffled per document: a file's proposals are an array in its row. Only the counting
+of licence words aggregates, with at most one row per word and task.
+
+Defined results: a null or empty text has no words, no labels and score 0; its first
+and last word are null. A very long text is read whole; its work grows with its words
+and the places of phrases. Repeated rows give repeated results. Of words with the same
+IDF the longer, then the first of a phrase is its rarer one. An empty table gives no
+rows. Only the two columns named are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,7 +90,7 @@ def _is_one_of(word: Column, vocabulary: list[str]) -> Column:
     return F.lower(word).isin(vocabulary) & (F.octet_length(F.lower(word)) == F.octet_length(word))
 
 
-def _phrases(templates: tuple[Template, ...]) -> list[tuple[str, ...]]:
+def _phrases(templates: Sequence[Template]) -> list[tuple[str, ...]]:
     return list(dict.fromkeys(tuple(p.split()) for t in templates for p in t.phrases))
 
 
@@ -98,80 +107,104 @@ def inverse_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, fl
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _anchor(phrase: tuple[str, ...], idf: dict[str, float]) -> int:
-    """Place of the phrase's rarest word."""
-    return max(range(len(phrase)), key=lambda i: (idf[phrase[i]], len(phrase[i]), -i))
+class Index:
+    """Postings and templates, as literals of a plan."""
 
+    def __init__(self, templates: Sequence[Template], idf: dict[str, float], base: Sequence[Template] = BASE):
+        phrases = _phrases(templates)
+        number = {p: i for i, p in enumerate(phrases)}
+        lists: list[dict[str, list[dict]]] = [{}, {}]
+        for i, p in enumerate(phrases):
+            rarest = sorted(range(len(p)), key=lambda k: (-idf[p[k]], -len(p[k]), k))  # noqa: B023
+            for found, at in zip(lists, (rarest[0], rarest[min(1, len(p) - 1)]), strict=True):
+                found.setdefault(p[at], []).append({"phrase": i, "at": at})
+        self.keys = sorted({w for found in lists for w in found})
+        self.lists = [_literal(found, "map<string, array<struct<phrase: bigint, at: int>>>") for found in lists]
+        self.phrases = _literal([" ".join(p) for p in phrases], "array<string>")
+        self.lengths = _literal([len(p) for p in phrases], "array<int>")
+        starting: list[list[dict]] = [[] for _ in phrases]
+        weights = [sum(idf[w] for p in t.phrases for w in p.split()) for t in templates]
+        most = max(weights, default=0.0) or 1.0
+        for k, t in enumerate(templates):
+            first, *rest = [number[tuple(p.split())] for p in t.phrases]
+            starting[first].append({"template": k, "rest": rest, "window": t.window})
+        self.starting = _literal(starting, "array<array<struct<template: int, rest: array<bigint>, window: int>>>")
+        about = [{"label": t.label, "base": t in base, "score": 0.5 + 0.5 * w / most} for t, w in zip(templates, weights, strict=True)]
+        self.about = _literal(about, "array<struct<label: string, base: boolean, score: double>>")
+        #: Phrases that can begin at one place.
+        self.together = max(Counter(p[0] for p in phrases).values(), default=1)
 
-def _stands(phrase: tuple[str, ...], x: Column, at: int) -> Column:
-    """Whether the phrase stands around x, an entry of `found`, which holds its word number `at`.
 
-    All words of a phrase are licence words, so neighbours in the text are neighbours in `found`.
-    """
-    found = F.col("found")
-    there = x["w"] == phrase[at]
-    for i, w in enumerate(phrase):
-        if i != at:
-            other = F.get(found, x["j"] + (i - at))
-            there = there & (other["pos"] == x["pos"] + (i - at)) & (other["w"] == w)
-    return there
+def _literal(value: object, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _places(template: Template, idf: dict[str, float]) -> Column:
-    """Starts, as word positions, of a template in `found`, the file's licence words in order."""
-    first, *rest = [tuple(p.split()) for p in template.phrases]
-    at = _anchor(first, idf)
-    hits = F.filter("found", lambda x: _stands(first, x, at))
-    for phrase in rest:
-        hits = F.filter(hits, _followed(phrase, _anchor(phrase, idf), at, template.window))
-    return F.transform(hits, lambda x: x["pos"] - at)
+def _lowered(word: Column) -> Column:
+    """A-Z lower-cased; a word that lower() changes otherwise is no licence word either way."""
+    return F.when(F.octet_length(F.lower(word)) == F.octet_length(word), F.lower(word)).otherwise(word)
 
 
-def _followed(phrase: tuple[str, ...], at: int, first_at: int, window: int):
-    """Whether the phrase begins behind the first one, within the window."""
+def _proposals(postings: Column) -> Column:
+    """phrase * 2**40 + start, as proposed by the words in `rare`."""
 
-    def test(x: Column) -> Column:
-        near = F.slice("found", x["j"] + 2, window + len(phrase))
-        behind = lambda y: (y["pos"] - at > x["pos"] - first_at) & (y["pos"] - at <= x["pos"] - first_at + window)
-        return F.exists(near, lambda y: behind(y) & _stands(phrase, y, at))
+    def of(x: Column) -> Column:
+        here = F.filter(F.try_element_at(postings, x["w"]), lambda e: e["at"] <= x["pos"])
+        return F.transform(here, lambda e: F.shiftleft(e["phrase"], 40) + (x["pos"] - e["at"]))
 
-    return test
+    return F.flatten(F.array_compact(F.transform("rare", of)))
 
 
-def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = BASE + NOTICES
+) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document."""
-    phrases = _phrases(BASE + NOTICES)
-    vocabulary = sorted({w for p in phrases for w in p})
+    templates = list(dict.fromkeys(templates))
+    vocabulary = sorted({w for p in _phrases(templates) for w in p})
     licence_words = F.filter(file_words(text_col), lambda w: _is_one_of(w, vocabulary))
     idf = inverse_frequencies(docs.select(F.transform(licence_words, F.lower).alias("found")), vocabulary)
-    # Every phrase's rarest word; a file without any of them has no phrase.
-    anchors = sorted({max(p, key=lambda w: (idf[w], len(w))) for p in phrases})
+    index = Index(templates, idf)
     words = docs.select(F.col(id_col).alias("doc_id"), file_words(text_col).alias("words"))
-    entry = lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("w"))
-    found = F.filter(F.transform("words", entry), lambda x: _is_one_of(x["w"], vocabulary))
-    found = F.transform(found, lambda x, j: F.struct(x["pos"].alias("pos"), F.lower(x["w"]).alias("w"), j.cast("int").alias("j")))
-    looked_up = F.when(F.exists("words", lambda w: _is_one_of(w, anchors)), found).otherwise(F.array().cast("array<struct<pos:int,w:string,j:int>>"))
-    rows = words.select("doc_id", F.size("words").cast("long").alias("n_words"), looked_up.alias("found"))
-    # One column of places per template.
-    templates = list(dict.fromkeys(BASE + NOTICES))
-    name = {t: f"t{k}" for k, t in enumerate(templates)}
-    hit = F.size("found") > 0
-    nothing = F.array().cast("array<int>")
-    rows = rows.select("doc_id", "n_words", *[F.when(hit, _places(t, idf)).otherwise(nothing).alias(name[t]) for t in templates])
-    template_places = lambda t: F.col(name[t])
-    base_starts = F.concat(*[template_places(t) for t in BASE])
-    label = lambda ts: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(template_places(t)) > 0, F.lit(t.label)) for t in ts])))), ",")
-    weigh = lambda t: sum(idf[w] for p in t.phrases for w in p.split())
-    most = max(map(weigh, BASE + NOTICES)) or 1.0
-    score = F.greatest(*[F.when(F.size(template_places(t)) > 0, F.lit(0.5 + 0.5 * weigh(t) / most)).otherwise(F.lit(0.0)) for t in BASE + NOTICES])
+    entry = lambda w, i: F.struct(i.cast("bigint").alias("pos"), w.alias("w"))
+    rare = F.filter(F.transform("words", entry), lambda x: _is_one_of(x["w"], index.keys))
+    rare = F.transform(rare, lambda x: F.struct(x["pos"].alias("pos"), F.lower(x["w"]).alias("w")))
+    none = F.array().cast("array<struct<pos: bigint, w: string>>")
+    rare = F.when(F.exists("words", lambda w: _is_one_of(w, index.keys)), rare).otherwise(none)
+    rows = words.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", rare.alias("rare"))
+    agreed = F.array_intersect(*[_proposals(x) for x in index.lists])
+    places = F.transform(agreed, lambda v: F.struct((v % 2**40).cast("int").alias("start"), F.shiftright(v, 40).cast("int").alias("phrase")))
+
+    def stands(h: Column) -> Column:
+        there = F.slice(F.col("words"), h["start"] + 1, F.get(index.lengths, h["phrase"]))
+        return F.array_join(F.transform(there, _lowered), " ") == F.get(index.phrases, h["phrase"])
+
+    hits = F.sort_array(F.filter(places, stands))
+    no_hits = F.array().cast("array<struct<start: int, phrase: int>>")
+    rows = rows.select("doc_id", "n_words", F.when(F.size("rare") > 0, hits).otherwise(no_hits).alias("hits"))
+
+    def found(h: Column, j: Column) -> Column:
+        def follows(t: Column) -> Column:
+            near = F.slice("hits", j + 2, t["window"] * index.together)
+            behind = lambda y: (y["start"] > h["start"]) & (y["start"] <= h["start"] + t["window"])
+            return F.forall(t["rest"], lambda r: F.exists(near, lambda y: (y["phrase"] == r) & behind(y)))
+
+        own = F.filter(F.get(index.starting, h["phrase"]), follows)
+        return F.transform(own, lambda t: F.struct(h["start"].alias("start"), F.get(index.about, t["template"]).alias("about")))
+
+    nothing = F.array().cast("array<struct<start: int, about: struct<label: string, base: boolean, score: double>>>")
+    matches = F.when(F.size("hits") > 0, F.flatten(F.transform("hits", found))).otherwise(nothing)
+    rows = rows.select("doc_id", "n_words", matches.alias("matches"))
+    base = F.filter("matches", lambda m: m["about"]["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    label = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["about"]["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["about"]["score"])), F.lit(0.0))
     return rows.select(
         "doc_id",
         "n_words",
-        F.size(base_starts).cast("long").alias("n_base"),
-        F.array_min(base_starts).cast("long").alias("first_word"),
-        F.array_max(base_starts).cast("long").alias("last_word"),
-        label(BASE).alias("base_labels"),
-        label(BASE + NOTICES).alias("labels"),
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        label(base).alias("base_labels"),
+        label("matches").alias("labels"),
         F.round(score, 6).alias("score"),
     )
 

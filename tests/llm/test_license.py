@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -22,9 +23,9 @@ def brute(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
-def brute_labels(text):
+def brute_labels(text, templates=license_scan.BASE + license_scan.NOTICES):
     w, found = words(text), set()
-    for t in license_scan.BASE + license_scan.NOTICES:
+    for t in templates:
         starts = [[i for i in range(len(w) - len(p.split()) + 1) if w[i : i + len(p.split())] == p.split()] for p in t.phrases]
         first = starts[0]
         for rest in starts[1:]:
@@ -67,3 +68,34 @@ def test_no_python_in_the_plan(spark):
     plan = license_scan.scan(spark, docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     assert license_scan.scan(spark, docs.limit(0)).count() == 0
+
+
+def generated(n):
+    """Templates of one or two phrases over a small vocabulary, so that many share words and places."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    phrase = lambda: " ".join(rng.choices(vocabulary, k=rng.randint(1, 5)))
+    return [license_scan.Template(f"t{k}", tuple(phrase() for _ in range(rng.choice([1, 1, 2]))), 15) for k in range(n)]
+
+
+def test_many_templates(spark, frame):
+    templates = generated(200)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(120):
+        text = [f"w{rng.randrange(90)}" for _ in range(rng.randrange(200))]
+        for t in rng.sample(templates, 2):
+            for p in t.phrases:
+                at = rng.randrange(len(text) + 1)
+                text[at:at] = p.split()
+        texts.append(" ".join(text))
+    docs = frame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = license_scan.scan(spark, docs, templates=templates)
+    seen = 0
+    for r in got.collect():
+        assert r["labels"] == brute_labels(texts[r["doc_id"]], templates)
+        seen += r["labels"].count("t")
+    assert seen > 240
+    # Nothing in the plan is repeated by template.
+    size = lambda df: len(re.findall("lambda", df._jdf.queryExecution().analyzed().toString()))
+    assert size(got) == size(license_scan.scan(spark, docs, templates=templates[:3]))
