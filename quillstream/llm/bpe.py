@@ -7,9 +7,11 @@ merges that pair everywhere in the word, from left to right, and drops words tha
 have no pair left. Merging all places of one rank at once equals merging them one
 after the other, as a pair made by a merge always has a higher rank than the merge.
 
-Words of more than LONG_WORD symbols (one word may be a whole text without
-blanks) would need a round per rank over all their symbols; they are merged with
-a heap over the same pair table, in the same order.
+Words of more than LONG_WORD symbols (one word may be a whole text without blanks)
+have rounds of their own, as theirs are many: a round merges all places of the lowest
+rank that any of them has left, and touches these places and their neighbours only.
+Words don't depend on each other, so the order of ranks over all of them is the
+order in each.
 
 The vocabulary comes from a tokenizer file whose path is a parameter; it is read
 by the driver, and its tables, which have a fixed size of about 50,000 entries,
@@ -17,13 +19,15 @@ go to the executors as a broadcast. A worker keeps the ids of up to CACHE_WORDS
 
 Defined results: a null text counts as empty and has no ids; special tokens of
 the file are recognised in texts, as the tokenizers library does; decoding keeps
-special tokens and replaces bytes that aren't UTF-8.
+special tokens and replaces bytes that aren't UTF-8. A very long text is encoded
+whole, on its own. Repeated rows are coded each, from the same cached words; of
+overlapping places of one rank the leftmost merges. An empty table gives no rows.
+The key travels as one column, so that its names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -143,33 +147,53 @@ class Codec:
         ends = (4 * np.cumsum(np.bincount(owners, minlength=len(words)))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _merge_long(self, word: bytes) -> bytes:
-        """Ids of one long word, as bytes: lowest rank first, leftmost first, over a linked list."""
-        symbols = self.v.byte_ids[np.frombuffer(word, np.uint8)].copy()
-        n = len(symbols)
-        after, before = np.arange(1, n + 1).tolist(), np.arange(-1, n - 1).tolist()
-        ranks = self._pair_ranks(symbols[:-1], symbols[1:])
-        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r != _NONE]
-        heapq.heapify(heap)
-        at = ranks.tolist() + [_NONE]
-        s = symbols.tolist()
-        table = self.__dict__.setdefault("_table", dict(zip(self.v.keys.tolist(), self.v.ranks.tolist(), strict=True)))
-        merged = self.v.merged
-        while heap:
-            r, i = heapq.heappop(heap)
-            if at[i] != r:
+    def _merge_long(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each long word, as bytes, in rounds over one rank at a time."""
+        if not words:
+            return []
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        symbols = self.v.byte_ids[np.frombuffer(b"".join(words), np.uint8)].copy()
+        n, ends = len(symbols), np.cumsum(lengths)
+        # Neighbours in the flat array; place n stands for none.
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends - lengths] = n
+        rank = np.full(n + 1, _NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ahead = np.zeros(len(self.v.merged), bool)  # ranks that wait; a merge only makes pairs of higher ones
+
+        def offer(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places, and note the places by rank."""
+            rank[at] = _NONE
+            at = at[after[at] < n]
+            rank[at] = self._pair_ranks(symbols[at], symbols[after[at]])
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for group in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[group[0]])
+                ahead[r] = True
+                waiting.setdefault(r, []).append(group)
+
+        offer(np.arange(n))
+        r = 0
+        while waiting:
+            r += int(np.argmax(ahead[r:]))
+            ahead[r] = False
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            j = after[i]
-            s[i], at[j], s[j] = int(merged[r]), _NONE, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0:
-                    at[a] = table.get((s[a] << 32) | s[b], _NONE) if b < n else _NONE
-                    if at[a] != _NONE:
-                        heapq.heappush(heap, (at[a], a))
-        return np.array([x for x in s if x >= 0], dtype="<i4").tobytes()
+            # In a run of overlapping places every other one counts, from the left.
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone], rank[gone] = self.v.merged[r], -1, _NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            touched = np.r_[at, before[at]]
+            offer(np.unique(touched[touched < n]))
+        return [w[w >= 0].astype("<i4").tobytes() for w in np.split(symbols, ends[:-1])]
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():  # engines differ over the separators, which Python's re takes for blanks in Unicode mode only
@@ -182,7 +206,8 @@ class Codec:
         short = [k for k, w in enumerate(raw) if len(w) <= LONG_WORD]
         merged = self._merge([raw[k] for k in short])
         ids = {words[k]: x for k, x in zip(short, merged, strict=True)}
-        return ids | {words[k]: self._merge_long(w) for k, w in enumerate(raw) if len(w) > LONG_WORD}
+        long = [k for k, w in enumerate(raw) if len(w) > LONG_WORD]
+        return ids | {words[k]: x for k, x in zip(long, self._merge_long([raw[k] for k in long]), strict=True)}
 
     def _lookup(self, words: set[str]) -> dict[str, bytes]:
         """Ids, as bytes, of all words; the ones not known before are merged together."""
