@@ -2,8 +2,8 @@
 
 Texts are encoded (special tokens' strings are ordinary text) and cut, losslessly, into pieces of at most ``seq_len`` tokens;
 only the last piece of a text can be shorter. Full pieces fill a row of their own.
-The others are gathered over a window of ``WINDOW_TOKENS`` tokens of a partition
-and packed longest first, each into the row with the least room that still holds
+The others are gathered over a window of ``WINDOW_TOKENS`` tokens, or
+``WINDOW_PIECES`` pieces, of a partition and packed longest first, each into the row with the least room that still holds
 it. Rows are found by their room: a segment tree over the capacities 0..seq_len
 marks which rooms are on offer, and one walk up and down finds the smallest that
 is large enough. Windows bound memory and need no shuffle; only the last rows of a
@@ -15,8 +15,11 @@ segment lengths, and the places where positions start anew. Reading the segments
 by document and piece gives back each text's ids.
 
 Defined results: a null or empty text is a segment of length 0, so every document
-is in exactly one set of segments; repeated documents are packed as often as they
-come; null ids are kept; an empty table gives no rows.
+is in exactly one set of segments; a row has seq_len segments at most; a very long
+text fills rows of its own, given out as they are cut; repeated documents are packed
+as often as they come; of pieces of one length the earlier is packed first; null ids
+are kept; an empty table gives no rows. Only doc_id and text are read, so that other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .runtime import ship_package
 
 SEQ_LEN = 2048
 WINDOW_TOKENS = 2_000_000
+#: Pieces that a window has at most, however short.
+WINDOW_PIECES = 200_000
 PAD_ID = 0
 
 
@@ -72,7 +77,7 @@ class Capacities:
 
 
 def best_fit_decreasing(lengths: list[int], seq_len: int) -> list[list[int]]:
-    """Items of each row: longest item first, into the fullest row that holds it."""
+    """Items of each row: longest item first, into the fullest row that holds it; seq_len items at most in a row."""
     rooms, rows = Capacities(seq_len), []
     offered: list[list[int]] = [[] for _ in range(seq_len + 1)]
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -84,8 +89,9 @@ def best_fit_decreasing(lengths: list[int], seq_len: int) -> list[list[int]]:
             row = offered[room].pop()
             rooms.add(room, -1)
             rows[row].append(item)
-        offered[room - lengths[item]].append(row)
-        rooms.add(room - lengths[item], 1)
+        if len(rows[row]) < seq_len:
+            offered[room - lengths[item]].append(row)
+            rooms.add(room - lengths[item], 1)
     return rows
 
 
@@ -169,9 +175,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, seq_len: int = SEQ_LEN
                         if len(x) % seq_len or not whole:
                             waiting.append((doc, whole, x[whole * seq_len :].copy()))
                             tokens += len(x) % seq_len
-                    if tokens >= window:
-                        yield from flush()
-                        waiting, tokens = [], 0
+                        if tokens >= window or len(waiting) >= WINDOW_PIECES:
+                            yield from flush()
+                            waiting, tokens = [], 0
             yield from flush()
 
         yield from _rows(packed(), TaskContext.get().partitionId(), seq_len, dtype)

@@ -42,6 +42,14 @@ def test_long_words(text):
     assert CODEC.encode_batch([text])[0].tolist() == library_ids([text])[0]
 
 
+def test_long_words_together():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlucmfw" * 3 + "éñ日", k=n)) for n in (1025, 30_000, 100_000, 2000)] + ["ab" * 50_000]
+    ids = [np.frombuffer(x, "<i4").tolist() for x in CODEC._merge_long([w.encode() for w in words])]
+    assert ids == library_ids(words)
+    assert CODEC._merge_long([]) == []
+
+
 def test_cache_generations(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     codec = bpe.Codec(CODEC.v)
@@ -100,7 +108,9 @@ def slow_best_fit(lengths, top):
 @given(st.lists(st.integers(0, 16), max_size=60))
 def test_best_fit_decreasing(lengths):
     rows = packing.best_fit_decreasing(lengths, 16)
-    assert sorted(i for r in rows for i in r) == list(range(len(lengths)))
+    assert sorted(i for r in rows for i in r) == list(range(len(lengths))) and all(len(r) <= 16 for r in rows)
+    lengths = [x for x in lengths if x]
+    rows = packing.best_fit_decreasing(lengths, 16)
     assert sorted(16 - sum(lengths[i] for i in r) for r in rows) == slow_best_fit(lengths, 16)
 
 
@@ -121,6 +131,14 @@ def test_packing_is_lossless(spark, frame, seq_len, window):
     assert packing.pack(spark, docs.limit(0), RANKS).count() == 0
 
 
+def test_empty_documents_do_not_pile_up(spark, frame, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_PIECES", 3000)
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").alias("text"))
+    rows = packing.pack(spark, docs.unionByName(frame([(-1, "a b c")], "doc_id bigint, text string")), RANKS, 64).collect()
+    assert sorted(d for r in rows for d in r["doc_ids"]) == list(range(-1, 100_000))
+    assert max(len(r["doc_ids"]) for r in rows) <= 64 and sum(r["n_tokens"] for r in rows) == 3
+
+
 def test_matrices_on_disk(spark, frame, tmp_path):
     docs = frame([(i, "some words here " * i) for i in range(20)], "doc_id bigint, text string")
     packing.write_matrices(packing.pack(spark, docs, RANKS, 64), str(tmp_path / "m"))
