@@ -6,7 +6,8 @@ conversation and compares consecutive outputs: where an output continues the one
 before, the new part is the span of the new turn; where it doesn't, the template
 has rewritten history, and the row says from which turn on. The place of the text
 inside a span is found by rendering the same prefix once more with a probe for a
-text. The loss mask covers the texts of assistant turns.
+text, a character that occurs nowhere in the conversation. The loss mask covers the
+texts of assistant turns.
 
 `inst_template` marks turns and escapes its control strings inside texts: one
 more backslash is put behind the first character of every control string, with
@@ -20,7 +21,8 @@ of turns of one conversation; that is the method.
 
 Defined results: turns in order of turn (null first), ties by role, then text;
 null texts and roles count as empty; every row is a turn, repeated rows too; null
-conv_id is a conversation of its own; other columns are ignored.
+conv_id is a conversation of its own; a very long text is rendered whole; an empty
+table gives no rows; other columns are not read, so that they cannot clash.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from .runtime import ship_package
 
 Turns = list[tuple[str, str]]
-PROBE = "\ue000"
+#: A probe is a character of these that neither the turns nor what the template makes of them hold.
+PROBES = range(0xE000, 0x10FFFE)
 ASSISTANT = "assistant"
 
 # Control strings of the template.
@@ -92,21 +95,27 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
+def _probe(turns: Turns, rendered: str) -> str:
+    used = set(rendered).union(*(f"{role}{text}" for role, text in turns))
+    return next(c for c in map(chr, PROBES) if c not in used)
+
+
 def render_incrementally(turns: Turns, template: Callable[[Turns], str]) -> Rendered:
     """Spans in the final output; turns whose output was rewritten later have their spans cut at the change."""
     before, spans, rewritten = "", [], None
+    probe = _probe(turns, template(turns)) if turns else ""
     for i in range(len(turns)):
         now = template(turns[: i + 1])
         at = _common(before, now)
         if at < len(before):
             rewritten = i if rewritten is None else rewritten
             spans = [tuple(min(x, at) for x in s) for s in spans]
-        probed = template([*turns[:i], (turns[i][0], PROBE)])
-        start = probed.find(PROBE, min(at, _common(probed, now)))
+        probed = template([*turns[:i], (turns[i][0], probe)])
+        start = probed.find(probe, min(at, _common(probed, now)))
         if start < 0:  # the template drops the text
             spans.append((at, len(now), len(now), len(now)))
         else:
-            spans.append((at, len(now), start, len(now) - (len(probed) - start - len(PROBE))))
+            spans.append((at, len(now), start, len(now) - (len(probed) - start - len(probe))))
         before = now
     return Rendered(before, spans, rewritten)
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from quillstream.llm import chat_format
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, spans string"
-PIECES = st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[TURN", "[TURN x", "<", "[", "\\", "\\\\", "/s>", "s>", " ", "a", "\n", "", "ñ😀"])
+PIECES = st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[TURN", "[TURN x", "<", "[", "\\", "\\\\", "/s>", "s>", " ", "a", "\n", "", "ñ😀", "\ue000", "\ue001"])
 TEXT = st.lists(PIECES, max_size=8).map("".join)
 
 
@@ -20,11 +20,11 @@ def test_escape_is_reversible_and_hides_control_strings(text):
     assert not any(c in escaped for c in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]"))
 
 
-ROLE = st.sampled_from(["user", "assistant", "system", "tool", "", "odd] role\n"])
+ROLE = st.sampled_from(["user", "assistant", "system", "tool", "", "odd] role\n", "\ue000", "a\ue000b"])
 
 
 @settings(deadline=None, max_examples=200)
-@given(st.lists(st.tuples(ROLE, TEXT.filter(lambda t: "" not in t)), min_size=1, max_size=6))
+@given(st.lists(st.tuples(ROLE, TEXT), min_size=1, max_size=6))
 def test_spans_read_back(turns):
     r = chat_format.render_incrementally(turns, chat_format.inst_template)
     assert r.rewritten_at is None and r.spans[0][0] == 0 and r.spans[-1][1] == len(r.text)
