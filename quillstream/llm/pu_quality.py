@@ -1,29 +1,35 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled documents of quality 1; the unlabelled set is web
-text as it comes. The class prior is estimated from the labelled documents. The
-classifier, a network with one hidden layer over text statistics, minimises the
-non-negative unbiased risk with logistic loss:
+text as it comes. The class prior is estimated from these two: a first network is
+trained to tell positives from unlabelled documents, on half of both, and on the other
+half the share of unlabelled documents above a score is divided by that of positives.
+The least such ratio, with an allowance for chance, is the prior, as only positives
+score that high (best bin estimation, Garg et al., 2021). The classifier, a network
+with one hidden layer over text statistics, then minimises the non-negative unbiased
+risk with logistic loss:
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
 Where the second part falls below zero, the step goes against it (Kiryo et al.,
-2017). Only documents with crc32(doc_id as text) mod 5 other than 0 are learnt
+2017). Negative labels are not used. Only documents with crc32(doc_id as text) mod 5 other than 0 are learnt
 from. Means and scales of the statistics are those of all of these. The risk takes
 about TRAIN_ROWS positives and TRAIN_ROWS unlabelled documents, chosen by hash, and
 twice that at most. All documents are then scored
 in one pass over their whole texts, without a shuffle. Labels, lang, source and
 doc_id are no inputs.
 
-Defined results: a null text counts as empty, and empty texts get a score too;
-repeated rows are scored each; a null id is never held out; with no positives to
-learn from, every score is the prior's estimate.
+Defined results: a null text counts as empty, and empty texts get a score too; a very
+long text is scored whole; repeated rows are scored each; a null id is never held out;
+of repeated labels one counts; with no positives to learn from, every score is 0.5;
+an empty table gives no rows. Only doc_id and text are read, and accepted documents
+travel in a struct, so that other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -39,6 +45,8 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 HIDDEN = 24
 EPOCHS = 60
+#: Passes of the networks that the prior is estimated with, and the chance of its bound to be too low.
+PRIOR_EPOCHS, PRIOR_CHANCE = 30, 0.1
 #: Characters that a worker looks at together.
 SLICE = 1_000_000
 BATCH = 512
@@ -119,6 +127,24 @@ def _sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of scores of positives and unlabelled documents."""
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    return prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+
+
+def step_of(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """What training descends along: the risk's slope; where its second part is negative, against that part's."""
+    if np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
+        return np.r_[prior * (-_sigmoid(-gp) - _sigmoid(gp)) / len(gp), _sigmoid(gu) / len(gu)]
+    return np.r_[prior * _sigmoid(gp) / len(gp), -_sigmoid(gu) / len(gu)]
+
+
+def telling_apart(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of the logistic loss that takes all unlabelled documents for negatives."""
+    return np.r_[-_sigmoid(-gp) / len(gp), _sigmoid(gu) / len(gu)]
+
+
 def fit(
     positive: np.ndarray,
     unlabelled: np.ndarray,
@@ -126,6 +152,7 @@ def fit(
     seed: int = 3,
     epochs: int = EPOCHS,
     spread: tuple[np.ndarray, np.ndarray] | None = None,
+    slope: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = step_of,
 ) -> Model:
     """Minimise the non-negative risk with Adam. Features are scaled by spread (means, deviations), else by their own."""
     rng = np.random.default_rng(seed)
@@ -141,12 +168,7 @@ def fit(
             xp, xu = p[np.take(pu, range(part * BATCH, (part + 1) * BATCH), mode="wrap")], u[uu[part::steps]]
             x = np.vstack([xp, xu])
             hidden, g = model.forward(x)
-            gp, gu = g[: len(xp)], g[len(xp) :]
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                d = np.r_[prior * (-_sigmoid(-gp) - _sigmoid(gp)) / len(xp), _sigmoid(gu) / len(xu)]
-            else:
-                d = np.r_[prior * _sigmoid(gp) / len(xp), -_sigmoid(gu) / len(xu)]
+            d = slope(g[: len(xp)], g[len(xp) :], prior)
             dh = d[:, None] * model.w[2] * (1 - hidden**2)
             grads = [x.T @ dh + 1e-4 * model.w[0], dh.sum(axis=0), hidden.T @ d + 1e-4 * model.w[2], np.array([d.sum()])]
             step += 1
@@ -157,6 +179,29 @@ def fit(
     return model
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from held-back scores: the ratio of shares above a score, where its upper bound is least."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    chance = np.sqrt(np.log(4 / PRIOR_CHANCE) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = np.argmin((above_u + chance) / above_p)
+    return float(above_u[best] / above_p[best])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, spread: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Share of positives among the unlabelled: the mean of two estimates, each from the half the other learnt from."""
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    found = []
+    for k in (0, 1):
+        model = fit(positive[p[k::2]], unlabelled[u[k::2]], 0.5, seed, PRIOR_EPOCHS, spread, telling_apart)
+        found.append(best_bin(model.score(positive[p[1 - k :: 2]]), model.score(unlabelled[u[1 - k :: 2]])))
+    return min(0.99, max(0.01, float(np.mean(found))))
+
+
 def _run_features(spark: SparkSession, rows: DataFrame, most: int) -> np.ndarray:
     """Statistics of rows (id, text), `most` of them at most, in order of a hash of the id.
 
@@ -217,13 +262,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: i
     """(model, prior) from docs (doc_id, text) and labels (doc_id, quality) of the training folds."""
     ship_package(spark)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & _train_fold(F.col("doc_id")))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    ones = counts.get(1, 0)
-    prior = min(0.99, max(0.01, (ones + 1) / (sum(counts.values()) + 2)))
-    if not ones:
-        return None, prior
+    known = known.filter("quality = 1")
+    if known.isEmpty():
+        return None, 0.5
     hashed = F.xxhash64(F.lit(7), "id")
-    trusted = known.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct().orderBy(hashed, "id").limit(train_rows)
+    trusted = known.select(F.col("doc_id").alias("id")).distinct().orderBy(hashed, "id").limit(train_rows)
     fold = docs.select(F.col("doc_id").alias("id"), "text").filter(_train_fold(F.col("id")))
     # At most train_rows ids, so their size is bounded.
     positive = _run_features(spark, fold.join(F.broadcast(trusted), "id"), 2 * train_rows)
@@ -232,7 +275,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: i
     chosen = fold.filter((F.shiftrightunsigned(hashed, 11).cast("double") / 2.0**53) < share)
     unlabelled = _run_features(spark, chosen, 2 * train_rows)
     if not len(positive) or not len(unlabelled):
-        return None, prior
+        return None, 0.5
+    prior = estimate_prior(positive, unlabelled, spread=spread)
     return fit(positive, unlabelled, prior, spread=spread), prior
 
 

@@ -39,6 +39,37 @@ def test_gradient_of_the_risk():
     assert model.score(rng.normal(-1, 1, (300, pu_quality.N_FEATURES))).mean() < 0.1
 
 
+def test_slope_is_that_of_the_risk():
+    rng = np.random.default_rng(2)
+    for prior, shift in ((0.3, 0.0), (0.9, -1.0), (0.6, 0.5)):
+        gp, gu = rng.normal(1, 1, 40), rng.normal(shift, 1, 60)
+        g = np.r_[gp, gu]
+        second = np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
+        brute = prior * np.log1p(np.exp(-gp)).mean() + max(0, second)
+        assert np.isclose(pu_quality.risk(gp, gu, prior), brute)
+        # Where the second part counts, it is the risk's slope; where it is negative, the other way along that part's.
+        target = (lambda x: pu_quality.risk(x[:40], x[40:], prior)) if second >= 0 else (lambda x: prior * np.logaddexp(0, x[:40]).mean() - np.logaddexp(0, x[40:]).mean())
+        steps = [(target(g + e) - target(g - e)) / 2e-5 for e in np.eye(100) * 1e-5]
+        assert np.allclose(pu_quality.step_of(gp, gu, prior), steps, atol=1e-6)
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    n = pu_quality.N_FEATURES
+    for prior in (0.2, 0.5, 0.8):
+        some = int(4000 * prior)
+        unlabelled = np.vstack([rng.normal(0.7, 1, (some, n)), rng.normal(-0.7, 1, (4000 - some, n))])
+        assert abs(pu_quality.estimate_prior(rng.normal(0.7, 1, (3000, n)), unlabelled) - prior) < 0.04
+    assert pu_quality.estimate_prior(unlabelled[:1], unlabelled) == 0.5
+
+
+def test_negative_labels_are_not_used(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    one, prior = pu_quality.learn(spark, docs, labels)
+    other, same = pu_quality.learn(spark, docs, labels.filter("quality = 1"))
+    assert prior == same and all(np.array_equal(a, b) for a, b in zip(one.w, other.w, strict=True))
+
+
 def test_scales_are_of_all_documents(spark):
     docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
     model, _ = pu_quality.learn(spark, docs, labels, train_rows=50)
