@@ -28,6 +28,42 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file on any file system that Spark reads; it appears whole or not at all, where renaming is atomic."""
+    fs, place = _file_system(spark, path)
+    aside = place.suffix(f".{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(aside)
+    out.write(bytearray(content))
+    out.close()
+    if not fs.rename(aside, place):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = _file_system(spark, path)
+    source = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, place = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, for the operators that run Python there, through the shared folder."""
     sc = spark.sparkContext
@@ -39,9 +75,6 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted((root / "quillstream").rglob("*.py")):
             z.write(f, f.relative_to(root))
     target = shared_dir(spark, "code") + "/quillstream_code.zip"
-    path = sc._jvm.org.apache.hadoop.fs.Path(target)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
+    write_bytes(spark, target, packed.getvalue())
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)

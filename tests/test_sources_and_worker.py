@@ -54,8 +54,18 @@ def test_index(spark, frame, tmp_path):
     made.replace(new)
     assert made.search("gamma").count() == 1 and made.search("alpha").count() == 0  # ... but for a replacement
     assert made.search("beta", video_id="a").count() == 0
+    assert made.stats().first()["n_tokens"] == 3
     made.delete(video_id="b", lang=None)
+    assert made.chunks.count() == 1 and tuple(made.stats().first())[:2] == (1, 1)
+    made.compact()
+    assert made.search("gamma").count() == 1 and made.manifest()["gone"] == []
+    other = index.Index(spark, str(tmp_path / "index"))  # as after a restart
+    assert other.chunks.collect() == made.chunks.collect()
+    # What a crash leaves before the manifest is written is not read.
+    made._write("chunks", made.manifest()["version"] + 1, made.chunks)
     assert made.chunks.count() == 1
+    made.replace(new)
+    assert made.chunks.count() == 2
     made.clear()
     assert made.chunks.count() == made.postings.count() == 0
     with pytest.raises(ValueError):
