@@ -1,13 +1,15 @@
 """Resilience as data: provider metrics, failure windows, and replays of the breaker and the rate limiter.
 
-Replays are sequential per provider. They run over sorted partitions, batch by
-batch, with a state of a few numbers; nothing of a provider's log is gathered.
+Breaker and limiter are functions from a state and an event to the next state; the
+service keeps such states in its driver, and replays fold a log with them. Replays
+are sequential per provider. They run over sorted partitions, batch by batch, with a
+state of a few numbers; nothing of a provider's log is gathered.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,95 +24,102 @@ FAILURE_THRESHOLD, WINDOW_SECONDS, COOLDOWN_SECONDS, JITTER = 5, 60.0, 300.0, 0.
 MIN_INTERVAL_SECONDS, MAX_REQUESTS, REQUEST_WINDOW_SECONDS = 1.0, 10, 60.0
 
 
-class Breaker:
-    """closed, open after too many failures in a window, half-open after a cooldown; a success closes it."""
-
-    def __init__(
-        self,
-        threshold: int = FAILURE_THRESHOLD,
-        window: float = WINDOW_SECONDS,
-        cooldown: float = COOLDOWN_SECONDS,
-        jitter: float = JITTER,
-        rng: random.Random | None = None,
-    ):
-        if threshold < 1:
-            raise ValueError("threshold must be 1 or more")
-        if window <= 0 or cooldown <= 0:
-            raise ValueError("window and cooldown must be positive")
-        if not 0 <= jitter < 1:
-            raise ValueError("jitter must be from 0 up to, but not including, 1")
-        self.threshold, self.window, self.cooldown, self.jitter = threshold, window, cooldown, jitter
-        self.rng = rng or random.Random(0)
-        self.failures: list[float] = []
-        self.status, self.opened_at, self.wait = "closed", 0.0, cooldown
-
-    def state(self, now: float) -> str:
-        if self.status == "open" and now - self.opened_at >= self.wait:
-            self.status = "half_open"
-        return self.status
-
-    def allow(self, now: float) -> bool:
-        return self.state(now) != "open"
-
-    def failure_count(self, now: float) -> int:
-        self.failures = [t for t in self.failures if t > now - self.window]
-        return len(self.failures)
-
-    def success(self) -> None:
-        self.failures, self.status = [], "closed"
-
-    def failure(self, now: float) -> None:
-        self.failure_count(now)
-        self.failures.append(now)
-        if self.status == "half_open" or len(self.failures) >= self.threshold:
-            self.status, self.opened_at = "open", now
-            self.wait = self.cooldown * (1 + self.rng.uniform(-self.jitter, self.jitter) if self.jitter else 1)
-
-
-class Limiter:
-    """A least interval between grants, and a most number of them per window; a window starts with its first grant."""
-
-    def __init__(self, interval: float = MIN_INTERVAL_SECONDS, most: int = MAX_REQUESTS, window: float = REQUEST_WINDOW_SECONDS, enabled: bool = True):
-        if interval < 0 or most < 1 or window <= 0:
-            raise ValueError("interval must not be negative, most and window must be positive")
-        self.interval, self.most, self.window, self.enabled = interval, most, window, enabled
-        self.last: float | None = None
-        self.start: float | None = None
-        self.count = 0
-
-    def acquire(self, arrival: float) -> float:
-        """When a request that arrives then is granted."""
-        if not self.enabled:
-            return arrival
-        now = arrival if self.last is None else max(arrival, self.last)
-        if self.last is not None and now - self.last < self.interval:
-            now = self.last + self.interval
-        if self.start is None or now - self.start >= self.window:
-            self.start, self.count = now, 0
-        if self.count >= self.most:
-            now = max(now, self.start + self.window)
-            self.start, self.count = now, 0
-        self.last = now
-        self.count += 1
-        return now
-
-
-def _replay(rows: DataFrame, order: str, schema: str, make: Callable[[], object], step: Callable[[object, tuple], tuple]) -> DataFrame:
-    """One state per provider, advanced over its rows in order."""
+class BreakerRules(NamedTuple):
+    """Times in seconds. jitter is the share by which a cooldown may be longer or shorter."""
+
+    threshold: int = FAILURE_THRESHOLD
+    window: float = WINDOW_SECONDS
+    cooldown: float = COOLDOWN_SECONDS
+    jitter: float = JITTER
+
+
+class BreakerState(NamedTuple):
+    """Times in microseconds: the failures that may still count, and until when no call is let through, if it is open or half open."""
+
+    failures: tuple[int, ...] = ()
+    closed_until: int | None = None
+
+
+def checked(rules: BreakerRules) -> BreakerRules:
+    if rules.threshold < 1 or min(rules.window, rules.cooldown) <= 0 or not 0 <= rules.jitter < 1:
+        raise ValueError("a breaker takes a threshold from 1, positive times, and a jitter from 0 to less than 1")
+    return rules
+
+
+def breaker_status(state: BreakerState, now: int) -> str:
+    if state.closed_until is None:
+        return "closed"
+    return "open" if now < state.closed_until else "half_open"
+
+
+def recent_failures(state: BreakerState, rules: BreakerRules, now: int) -> tuple[int, ...]:
+    return tuple(t for t in state.failures if now - t < rules.window * SECOND)
+
+
+def after_call(state: BreakerState, rules: BreakerRules, now: int, outcome: str, draw: float = 0.5) -> BreakerState:
+    """The state after a call's outcome; draw, from 0 to 1, chooses within the jitter.
+
+    Calls that are not let through, and outcomes other than success, empty and failure, change nothing.
+    """
+    status = breaker_status(state, now)
+    if status == "open" or outcome not in ("success", "empty", "failure"):
+        return state
+    if outcome != "failure":
+        return BreakerState()
+    failures = (*recent_failures(state, rules, now), now)
+    if status == "closed" and len(failures) < rules.threshold:
+        return BreakerState(failures)
+    wait = rules.cooldown * (1 + rules.jitter * (2 * draw - 1))
+    return BreakerState(failures, now + round(wait * SECOND))
+
+
+class LimiterRules(NamedTuple):
+    """A least interval between grants, and a most number of them per window, in seconds."""
+
+    interval: float = MIN_INTERVAL_SECONDS
+    most: int = MAX_REQUESTS
+    window: float = REQUEST_WINDOW_SECONDS
+
+
+class LimiterState(NamedTuple):
+    """The last grant, the first one of the present window, and the number of grants in it."""
+
+    last: float
+    first: float
+    count: int
+
+
+def granted(state: LimiterState | None, rules: LimiterRules, arrival: float) -> LimiterState:
+    """The state with a request that arrives then; `last` is when it is granted. A window starts with its first grant."""
+    if rules.interval < 0 or rules.most < 1 or rules.window <= 0:
+        raise ValueError("a limiter takes an interval from 0, a number from 1, and a positive window")
+    if state is None:
+        return LimiterState(arrival, arrival, 1)
+    at = max(arrival, state.last + rules.interval)
+    if at - state.first < rules.window:
+        if state.count < rules.most:
+            return LimiterState(at, state.first, state.count + 1)
+        at = max(at, state.first + rules.window)
+    return LimiterState(at, at, 1)
+
+
+def _replay(rows: DataFrame, schema: str, step: Callable[[object, tuple], tuple[object, tuple]]) -> DataFrame:
+    """One state per provider, None at first, advanced over its rows in order of seq."""
     ship_package(rows.sparkSession)
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider, state = None, make()
+        provider, state = None, None
         for batch in batches:
             made = []
             for row in batch.itertuples(index=False, name=None):
                 if row[0] != provider:
-                    provider, state = row[0], make()
-                made.append(step(state, row))
+                    provider, state = row[0], None
+                state, out = step(state, row)
+                made.append(out)
             yield pd.DataFrame(made, columns=columns)
 
-    return rows.repartition("provider").sortWithinPartitions("provider", order).mapInPandas(run, schema)
+    return rows.repartition("provider").sortWithinPartitions("provider", "seq").mapInPandas(run, schema)
 
 
 BREAKER_ROW = "provider string, seq bigint, allowed boolean, failure_count int, state string"
@@ -121,19 +130,16 @@ def breaker_replay(calls: DataFrame, threshold: int = FAILURE_THRESHOLD, window:
 
     A call that isn't let through has no outcome; an empty answer is a success.
     """
+    rules = checked(BreakerRules(threshold, window, cooldown, jitter))
 
-    def step(breaker: Breaker, row: tuple) -> tuple:
-        provider, seq, ts_us, outcome = row
-        now = ts_us / SECOND
-        allowed = breaker.allow(now)
-        if allowed and outcome == "failure":
-            breaker.failure(now)
-        elif allowed and outcome in ("success", "empty"):
-            breaker.success()
-        return provider, seq, allowed, breaker.failure_count(now), breaker.state(now)
+    def step(state: BreakerState | None, row: tuple) -> tuple[BreakerState, tuple]:
+        provider, seq, now, outcome = row
+        before = state or BreakerState()
+        after = after_call(before, rules, now, outcome)
+        allowed = breaker_status(before, now) != "open"
+        return after, (provider, seq, allowed, len(recent_failures(after, rules, now)), breaker_status(after, now))
 
-    rows = calls.select("provider", "seq", "ts_us", "outcome")
-    return _replay(rows, "seq", BREAKER_ROW, lambda: Breaker(threshold, window, cooldown, jitter), step)
+    return _replay(calls.select("provider", "seq", "ts_us", "outcome"), BREAKER_ROW, step)
 
 
 LIMITER_ROW = "provider string, seq bigint, waited double, granted double"
@@ -141,15 +147,15 @@ LIMITER_ROW = "provider string, seq bigint, waited double, granted double"
 
 def limiter_replay(arrivals: DataFrame, interval: float = MIN_INTERVAL_SECONDS, most: int = MAX_REQUESTS, window: float = REQUEST_WINDOW_SECONDS) -> DataFrame:
     """Per request (provider, seq, arrival_s) when it is granted, and how long it waits behind the request before it."""
+    rules = LimiterRules(interval, most, window)
 
-    def step(limiter: Limiter, row: tuple) -> tuple:
+    def step(state: LimiterState | None, row: tuple) -> tuple[LimiterState, tuple]:
         provider, seq, arrival = row
-        before = arrival if limiter.last is None else max(arrival, limiter.last)
-        granted = limiter.acquire(arrival)
-        return provider, seq, granted - before, granted
+        after = granted(state, rules, arrival)
+        ready = arrival if state is None else max(arrival, state.last)
+        return after, (provider, seq, after.last - ready, after.last)
 
-    rows = arrivals.select("provider", "seq", "arrival_s")
-    return _replay(rows, "seq", LIMITER_ROW, lambda: Limiter(interval, most, window), step)
+    return _replay(arrivals.select("provider", "seq", "arrival_s"), LIMITER_ROW, step)
 
 
 def failures_in_window(calls: DataFrame, window_seconds: float = WINDOW_SECONDS) -> DataFrame:

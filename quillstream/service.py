@@ -1,27 +1,36 @@
 """The service: six calls over the store, the index and the job table, each answering with one payload.
 
-State is held as DataFrames: an append log of transcripts, and the table of jobs.
-Every call plans a query that is filtered to one video before anything else, so
-that the filter reaches the scan.
+State is on disk (sources.state), so that a new service at the same path goes on where
+the last one stopped, and plans don't grow with the calls. Every call plans a query
+that is filtered to one video before anything else, so that the filter reaches the
+scan. Providers are called through a breaker and a limiter each, whose states are
+the driver's; every call is logged for the metrics.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import random
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InvalidUrl, error
+from .cluster import materialise, shared_dir
+from .errors import TranscriptError, error
 from .functions import locators
-from .functions.schemas import JOB_ROW, TRACK_KEY, TRANSCRIPT_ROW
+from .functions.schemas import TRACK_KEY
 from .functions.text import client_status
-from .operators import chunking, jobs, reading, resilience, search, summarize
+from .operators import jobs, reading, resilience, search, summarize
+from .operators.resilience import SECOND, BreakerRules, BreakerState, LimiterRules, LimiterState
 from .operators.segments import MAX_DURATION_SECONDS, durations, explode_segments
 from .operators.tracks import first_success
 from .sources import store
+from .sources.providers import CANDIDATE, Provider
+from .sources.state import State
 
 REASONS = {
     "empty": "the URL is empty",
@@ -42,6 +51,24 @@ def rows_as_dicts(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
+def answering(code: str) -> Callable:
+    """Errors of a call as payloads: those with codes as they are, others under the call's own code."""
+
+    def wrap(call: Callable[..., dict]) -> Callable[..., dict]:
+        @functools.wraps(call)
+        def safe(*args, **options) -> dict:
+            try:
+                return call(*args, **options)
+            except TranscriptError as e:
+                return e.payload()
+            except Exception as e:
+                return error(code, str(e) or type(e).__name__)
+
+        return safe
+
+    return wrap
+
+
 class Service:
     def __init__(
         self,
@@ -52,10 +79,34 @@ class Service:
         fetch: Fetch | None = None,
         ttl_seconds: float = store.DEFAULT_TTL_SECONDS,
         clock: Callable[[], int] = lambda: int(time.time() * 1_000_000),
+        path: str | None = None,
+        chain: Sequence[Provider] = (),
+        breaker: BreakerRules = BreakerRules(),
+        limiter: LimiterRules = LimiterRules(),
+        sleep: Callable[[float], None] = time.sleep,
+        draw: Callable[[], float] = random.random,
     ):
         self.spark, self.languages, self.fetch, self.ttl, self.clock = spark, tuple(languages), fetch, ttl_seconds, clock
-        self.log = log if log is not None else spark.createDataFrame([], TRANSCRIPT_ROW)
-        self.jobs = job_table if job_table is not None else spark.createDataFrame([], JOB_ROW)
+        self.state = State(spark, path or shared_dir(spark, "service"))
+        self.chain, self.breaker, self.limiter, self.sleep, self.draw = list(chain), resilience.checked(breaker), limiter, sleep, draw
+        self.breakers: dict[str, BreakerState] = {}
+        self.limiters: dict[str, LimiterState] = {}
+        if log is not None:
+            self.write(log)
+        if job_table is not None:
+            self.jobs = job_table
+
+    @property
+    def log(self) -> DataFrame:
+        return self.state.transcripts
+
+    @property
+    def jobs(self) -> DataFrame:
+        return self.state.jobs
+
+    @jobs.setter
+    def jobs(self, table: DataFrame) -> None:
+        self.state.jobs = table
 
     # -- helpers
 
@@ -63,7 +114,7 @@ class Service:
         text = url if isinstance(url, str) else None
         row = self.spark.createDataFrame([(text,)], "url string").select(locators.analyse("url").alias("a")).first()["a"]
         if row["reason"] is not None:
-            raise InvalidUrl(REASONS[row["reason"]])
+            raise TranscriptError("invalid_url", REASONS[row["reason"]])
         return row["video_id"]
 
     def _now(self):
@@ -94,23 +145,58 @@ class Service:
 
     def write(self, rows: DataFrame) -> None:
         """Append transcripts (TRANSCRIPT_ROW)."""
-        self.log = self.log.unionByName(rows)
+        self.state.add_transcripts(rows)
+
+    def _ask(self, provider: Provider, requests: DataFrame, wanted: list[str]) -> tuple:
+        """One provider's candidate, behind its breaker and its limiter; the call is logged."""
+        name, now = provider.name, self.clock()
+        before = self.breakers.get(name, BreakerState())
+        nothing = (None, None, None, None)
+        if not provider.enabled or resilience.breaker_status(before, now) == "open":
+            outcome, code, seconds, found = "rejected", None, 0.0, nothing
+        else:
+            self.limiters[name] = resilience.granted(self.limiters.get(name), self.limiter, now / SECOND)
+            wait = self.limiters[name].last - now / SECOND
+            if wait > 0:
+                self.sleep(wait)
+            began = time.perf_counter()
+            try:
+                row = provider.fetch(requests, wanted).first()
+                outcome, code = (row["outcome"], row["error_code"]) if row else ("empty", None)
+                found = tuple(row[c] for c in ("lang", "track_type", "source", "segments")) if row else nothing
+            except TranscriptError as e:
+                outcome, code, found = "failure", e.code, nothing
+            except Exception:
+                outcome, code, found = "failure", "transcript_error", nothing
+            seconds, now = time.perf_counter() - began, self.clock()
+            self.breakers[name] = resilience.after_call(before, self.breaker, now, outcome, self.draw())
+        self.state.add_calls([(name, time.time_ns(), now, outcome, seconds, code)])
+        return outcome, code, *found
+
+    def _asked_in_turn(self, video: str, wanted: list[str]) -> DataFrame:
+        """Candidates of the chain, up to the first success or failure."""
+        requests = self.spark.createDataFrame([(video,)], "video_id string")
+        rows = []
+        for priority, provider in enumerate(self.chain):
+            outcome, *rest = self._ask(provider, requests, wanted)
+            rows.append((video, outcome, *rest, provider.name, priority, True))
+            if outcome in ("success", "failure"):
+                break
+        return self.spark.createDataFrame(rows, f"{CANDIDATE}, provider string, priority int, enabled boolean")
 
     # -- calls
 
+    @answering("transcript_error")
     def transcript(self, url: object, languages: Sequence[str] | None = None, include_timestamps: bool = True) -> dict:
         """The stored transcript, else a provider's, else a job that will make one."""
-        try:
-            video = self._video(url)
-        except InvalidUrl as e:
-            return e.payload()
+        video = self._video(url)
         wanted = list(languages) if languages else list(self.languages)
         key = "+".join(wanted)
         own = self.log.filter((F.col("video_id") == video) & (F.col("lang") == key) & F.col("track_type").isin("manual", "auto"))
         hit = store.fresh(own, self._now(), self.ttl).orderBy(F.when(F.col("track_type") == "manual", 0).otherwise(1)).limit(1)
         if not hit.isEmpty():
             return self._payload(hit, include_timestamps)
-        if self.fetch is not None:
+        if self.fetch is not None or self.chain:
             answer = self._fetched(video, wanted, key, include_timestamps)
             if answer is not None:
                 return answer
@@ -118,7 +204,8 @@ class Service:
 
     def _fetched(self, video: str, wanted: list[str], key: str, include_timestamps: bool) -> dict | None:
         """A provider's transcript or error; None if there are no captions."""
-        candidates = self.fetch(video, wanted).withColumn("video_id", F.lit(video))
+        found = self._asked_in_turn(video, wanted) if self.chain else self.fetch(video, wanted).withColumn("video_id", F.lit(video))
+        candidates = materialise(found, "service-candidates")  # asked once
         end = first_success(candidates).first()
         if end is None or end["error_code"] == "no_captions":
             return None
@@ -143,7 +230,9 @@ class Service:
 
     def _enqueued(self, video: str, key: str, include_timestamps: bool) -> dict:
         request = self.spark.createDataFrame([(f"{video}:{key}", video, key)], "job_id string, video_id string, lang_key string")
-        self.jobs = jobs.enqueue(self.jobs, request, self.clock())
+        known = jobs.get(self.jobs, job_id=f"{video}:{key}").first()
+        if known is None or known["status"] == "failed":
+            self.jobs = jobs.enqueue(self.jobs, request, self.clock())
         job = jobs.get(self.jobs, job_id=f"{video}:{key}").first()
         if job["status"] == "completed":
             made = store.get(self.log, self._now(), self.ttl, video_id=video, lang=key, track_type="asr")
@@ -158,13 +247,11 @@ class Service:
             "poll_with": "transcript_status",
         }
 
+    @answering("transcript_error")
     def transcript_status(self, job_id: str | None = None, url: object = None) -> dict:
         if job_id is None and url is None:
             return error("invalid_request", "give job_id or url")
-        try:
-            found = jobs.get(self.jobs, job_id=job_id) if job_id is not None else jobs.get(self.jobs, video_id=self._video(url))
-        except InvalidUrl as e:
-            return e.payload()
+        found = jobs.get(self.jobs, job_id=job_id) if job_id is not None else jobs.get(self.jobs, video_id=self._video(url))
         job = found.first()
         if job is None:
             return error("job_not_found", "there is no such job")
@@ -177,6 +264,7 @@ class Service:
             payload |= {"detail": "the transcript is stored", "read_with": "transcript"}
         return payload
 
+    @answering("transcript_error")
     def transcript_read(self, video_id: str, start: float = 0.0, end: float | None = None, max_chars: int = reading.DEFAULT_MAX_CHARS, include_timestamps: bool = True) -> dict:
         try:
             reading.check_range(start, end, max_chars)
@@ -191,40 +279,45 @@ class Service:
         found = head | {k: body[k] for k in ("chars", "truncated", "text")}
         return found | ({"segments": body["segments"]} if include_timestamps else {})
 
+    @answering("search_error")
     def transcript_search(self, url: object, query: str, top_k: int = search.DEFAULT_TOP_K) -> dict:
-        """Ranks chunks of the video; the statistics are those of all stored transcripts."""
+        """Ranks chunks of the video, which is indexed if it isn't; the statistics are those of the whole index."""
         if not isinstance(query, str) or not query.strip():
             return error("invalid_request", "the query is empty")
         if not 1 <= top_k <= search.MAX_TOP_K:
             return error("invalid_request", f"top_k must be from 1 to {search.MAX_TOP_K}")
-        try:
-            video = self._video(url)
-        except InvalidUrl as e:
-            return e.payload()
-        if self._segments(video) is None:
+        video = self._video(url)
+        segments = self._segments(video)
+        if segments is None:
             return error("transcript_not_found", "no transcript of this video is stored", video_id=video, hint="ask for the transcript first")
-        every = store.get_any(self.log, self._now(), self.ttl)
-        chunks = chunking.chunk_transcripts(explode_segments(every))
         try:
-            found = search.search_text(chunks, query, top_k, video)
+            search.sanitise_query(query)
         except ValueError as e:
             return error("invalid_request", str(e), video_id=video)
+        self.state.index.ensure(segments)
+        found = self.state.index.search(query, top_k, video)
         results = rows_as_dicts(found.orderBy("rank").select("rank", "chunk_index", "start", "end", "text", "score", "url"))
         return {"status": "completed", "video_id": video, "query": query, "top_k": top_k, "count": len(results), "results": results}
 
-    def health(self, registry: DataFrame, calls: DataFrame, breakers: DataFrame) -> dict:
-        rows = resilience.health(registry, resilience.metrics(calls), breakers)
+    @answering("transcript_error")
+    def health(self, registry: DataFrame | None = None, calls: DataFrame | None = None, breakers: DataFrame | None = None) -> dict:
+        """Providers with their breakers and metrics; by default those of the chain."""
+        now = self.clock()
+        if registry is None:
+            registry = self.spark.createDataFrame([(p.name, p.enabled) for p in self.chain], "name string, enabled boolean")
+        if breakers is None:
+            states = [(p.name, resilience.breaker_status(self.breakers.get(p.name, BreakerState()), now)) for p in self.chain if p.enabled]
+            breakers = self.spark.createDataFrame(states, "provider string, state string")
+        rows = resilience.health(registry, resilience.metrics(self.state.calls if calls is None else calls), breakers)
         return {"status": "completed", "providers": [r.asDict() for r in rows.collect()]}
 
+    @answering("summarize_error")
     def transcript_summary(self, url: object, max_sections: int = summarize.DEFAULT_SECTIONS, sentences_per_section: int = summarize.DEFAULT_SENTENCES) -> dict:
         try:
             summarize.check_parameters(max_sections, sentences_per_section)
         except ValueError as e:
             return error("invalid_request", str(e))
-        try:
-            video = self._video(url)
-        except InvalidUrl as e:
-            return e.payload()
+        video = self._video(url)
         segments = self._segments(video)
         if segments is None:
             return error("transcript_not_found", "no transcript of this video is stored", video_id=video)
@@ -234,4 +327,25 @@ class Service:
         return head | {k: body[k] for k in ("section_count", "sections", "overall")}
 
 
-__all__ = ["Service", "TRACK_KEY", "rows_as_dicts"]
+CALLS = ("transcript", "transcript_status", "transcript_read", "transcript_search", "health", "transcript_summary")
+
+
+def serve(service: Service, requests: Iterable[str], answers: TextIO) -> None:
+    """Answer requests, a line of JSON each ({"id", "call", "arguments"}), with lines of JSON ({"id", "answer"})."""
+    for line in requests:
+        if not line.strip():
+            continue
+        number = None
+        try:
+            request = json.loads(line)
+            number = request.get("id")
+            if request.get("call") not in CALLS:
+                raise ValueError(f"call must be one of {', '.join(CALLS)}")
+            answer = getattr(service, request["call"])(**request.get("arguments", {}))
+        except (AttributeError, TypeError, ValueError) as e:
+            answer = error("invalid_request", str(e))
+        answers.write(json.dumps({"id": number, "answer": answer}, ensure_ascii=False) + "\n")
+        answers.flush()
+
+
+__all__ = ["CALLS", "Service", "TRACK_KEY", "rows_as_dicts", "serve"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import ship_package
+from ..errors import TranscriptError
 from ..functions.schemas import SEGMENTS
 
+ID_PATTERN = re.compile(r"[A-Za-z0-9_-]{11}")
 # Suffixes of audio files.
 AUDIO_SUFFIXES = (".wav", ".m4a", ".mp3", ".webm", ".opus", ".ogg", ".aac", ".flac")
 
@@ -27,6 +31,14 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(suffix.isin(*AUDIO_SUFFIXES))
 
 
+def check_ready(video_id: str, which: Callable[[str], str | None] = shutil.which) -> None:
+    """What an audio download needs: a valid id, and FFmpeg; an error else."""
+    if not ID_PATTERN.fullmatch(video_id or ""):
+        raise TranscriptError("invalid_url", "the video id is not valid", video_id=video_id)
+    if which("ffmpeg") is None:
+        raise TranscriptError("audio_download_failed", "FFmpeg is not installed", video_id=video_id)
+
+
 def locate_output(listing: DataFrame, key: str = "video_id") -> DataFrame:
     """Per video the file to use: <id>.wav if there is one, else the first audio file by name."""
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)\z", 1))

@@ -59,32 +59,40 @@ def test_fold_and_stream_step_agree(frame):
     assert found == {k: v for k, v in expected.items() if v is not None}
 
 
+def outcomes(rules, events, draw=0.5):
+    """Status after each of (seconds, outcome)."""
+    state, seen = resilience.BreakerState(), []
+    for at, outcome in events:
+        state = resilience.after_call(state, rules, round(at * S), outcome, draw)
+        seen.append(resilience.breaker_status(state, round(at * S)))
+    return state, seen
+
+
 def test_breaker():
-    b = resilience.Breaker(threshold=3, window=60, cooldown=300, jitter=0.0)
-    for t in (0, 0, 61):
-        b.failure(t)
-    assert b.state(61) == "closed"
-    b.failure(62)
-    b.failure(63)
-    assert not b.allow(64) and b.allow(363) and b.state(363) == "half_open"
-    b.failure(364)
-    assert b.state(365) == "open"
-    assert b.state(665) == "half_open"
-    b.success()
-    assert b.state(666) == "closed" and b.failure_count(666) == 0
-    jittered = resilience.Breaker(threshold=1, jitter=0.2, rng=random.Random(1))
-    jittered.failure(0)
-    assert 240 <= jittered.wait <= 360
-    for bad in ({"threshold": 0}, {"window": 0}, {"cooldown": 0}, {"jitter": 1.0}):
+    rules = resilience.BreakerRules(threshold=2, window=10, cooldown=100, jitter=0.0)
+    # Failures a whole window apart don't add up; two within it open the breaker, and calls meanwhile change nothing.
+    state, seen = outcomes(rules, [(0, "failure"), (10, "failure"), (12, "rejected"), (19.9, "failure"), (50, "success")])
+    assert seen == ["closed", "closed", "closed", "open", "open"]
+    assert resilience.breaker_status(state, round(119.9 * S) - 1) == "open" and resilience.breaker_status(state, round(119.9 * S)) == "half_open"
+    # Half open: one failure opens it again, an empty answer closes it.
+    assert outcomes(rules, [(0, "failure"), (1, "failure"), (101, "failure")])[1][-1] == "open"
+    assert outcomes(rules, [(0, "failure"), (1, "failure"), (101, "empty"), (102, "failure")])[1][2:] == ["closed", "closed"]
+    waits = [outcomes(rules._replace(threshold=1, jitter=0.2), [(0, "failure")], draw)[0].closed_until for draw in (0, 0.5, 1)]
+    assert waits == [80 * S, 100 * S, 120 * S]
+    for bad in ({"threshold": 0}, {"window": 0}, {"cooldown": -1}, {"jitter": 1.0}):
         with pytest.raises(ValueError):
-            resilience.Breaker(**bad)
+            resilience.checked(resilience.BreakerRules(**bad))
 
 
 def test_limiter():
-    limiter = resilience.Limiter()
-    assert [limiter.acquire(0.0) for _ in range(11)] == [*map(float, range(10)), 60.0]
-    assert resilience.Limiter(enabled=False).acquire(3.0) == 3.0
-    assert limiter.acquire(500.0) == 500.0 and limiter.count == 1
+    state, at = None, []
+    for arrival in [0.0] * 4 + [7.5, 40.0]:
+        state = resilience.granted(state, resilience.LimiterRules(interval=2.0, most=3, window=20.0), arrival)
+        at.append(state.last)
+    # Three grants two seconds apart, the fourth with the next window, the last with one of its own.
+    assert at == [0.0, 2.0, 4.0, 20.0, 22.0, 40.0] and state.count == 1
+    with pytest.raises(ValueError):
+        resilience.granted(None, resilience.LimiterRules(most=0), 0.0)
 
 
 def test_metrics_and_health(frame):

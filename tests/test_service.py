@@ -1,13 +1,20 @@
 from __future__ import annotations
 
+import io
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream import errors
 from quillstream.functions.schemas import SEGMENTS, TRANSCRIPT_ROW
-from quillstream.service import Service
+from quillstream.operators.resilience import BreakerRules
+from quillstream.operators.segments import explode_segments
+from quillstream.service import Service, serve
+from quillstream.sources import audio
+from quillstream.sources.providers import CANDIDATE, Provider
 
-ID = "dQw4w9WgXcQ"
+ID = "Qx7-tb_0Zk9"
 URL = f"https://www.youtube.com/watch?v={ID}"
 NOW = 1_700_000_000_000_000
 
@@ -103,8 +110,92 @@ def test_expired(spark):
     assert service.transcript(URL)["status"] == "processing"
 
 
+def test_a_restart_goes_on(spark, tmp_path):
+    first = Service(spark, stored(spark), clock=lambda: NOW, path=str(tmp_path))
+    first.transcript("https://youtu.be/abcDEF12345")
+    assert first.transcript_search(URL, "alpha")["count"] == 1
+    again = Service(spark, clock=lambda: NOW, path=str(tmp_path))
+    assert again.transcript(URL)["status"] == "completed"
+    assert again.transcript_status(job_id="abcDEF12345:es+en")["job_status"] == "pending"
+    assert again.state.index.chunks.count() == 1 and again.transcript_search(URL, "alpha")["count"] == 1
+
+
+def test_statistics_are_those_of_the_index(spark, tmp_path):
+    service = Service(spark, stored(spark), clock=lambda: NOW, path=str(tmp_path))
+    alone = service.transcript_search(URL, "alpha")["results"][0]["score"]
+    # Other tracks of the video are indexed too: they count, though they aren't the stored transcript.
+    for lang in ("en", "fr", "de"):
+        other = explode_segments(stored(spark, lang=lang, track="auto")).withColumn("text", F.lit("nothing of it"))
+        service.state.index.ensure(other)
+    assert service.state.index.stats().first()["n_chunks"] == 4
+    found = service.transcript_search(URL, "alpha")
+    assert found["count"] == 1 and found["results"][0]["score"] < 1000 * alone
+
+
+class Told(Provider):
+    def __init__(self, name, *answers):
+        self.name, self.answers, self.asked = name, list(answers), 0
+
+    def fetch(self, requests, languages):
+        self.asked += 1
+        outcome, code = self.answers.pop(0)
+        if outcome == "raises":
+            raise OSError("no network")
+        segments = [(0.0, 5.0, "said")] if outcome == "success" else None
+        return requests.sparkSession.createDataFrame([("", outcome, code, "es", "auto", "told", segments)], CANDIDATE)
+
+
+def test_chain_behind_breakers_and_limiters(spark):
+    slept = []
+    one, two = Told("one", ("empty", None), ("raises", None), ("failure", "blocked")), Told("two", ("success", None), ("empty", None))
+    rules = BreakerRules(threshold=2, jitter=0.0)
+    service = Service(spark, clock=lambda: NOW, chain=[one, two], breaker=rules, sleep=slept.append)
+    url = "https://youtu.be/video00000{}".format
+    assert service.transcript(url(1))["text"] == "said"
+    assert service.transcript(url(2))["code"] == "transcript_error"
+    assert service.transcript(url(3))["code"] == "blocked"
+    # Two failures: the first provider is not asked again for now.
+    assert service.transcript(url(4))["status"] == "processing" and (one.asked, two.asked) == (3, 2)
+    assert [round(s, 6) for s in slept] == [1.0, 2.0, 1.0]
+    seen = {p["name"]: (p["breaker"], p["calls"], p["success"], p["empties"], p["failures"], p["rejected"], p["last_error"]) for p in service.health()["providers"]}
+    assert seen == {"one": ("open", 4, 0, 1, 2, 1, "blocked"), "two": ("closed", 2, 1, 1, 0, 0, None)}
+
+
+def test_unforeseen_errors_have_codes(spark, monkeypatch):
+    service = Service(spark, stored(spark), clock=lambda: NOW)
+
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(service.state.index, "ensure", broken)
+    monkeypatch.setattr("quillstream.operators.summarize.summaries", broken)
+    assert service.transcript_search(URL, "alpha") == errors.error("search_error", "lost")
+    assert service.transcript_summary(URL)["code"] == "summarize_error"
+    monkeypatch.setattr(service, "_video", broken)
+    assert service.transcript(URL)["code"] == "transcript_error"
+
+
+def test_serve(full):
+    out = io.StringIO()
+    ask = [{"id": 1, "call": "transcript_read", "arguments": {"video_id": ID, "start": 6.0, "end": 9.0}}, {"id": 2, "call": "write"}, {"id": 3, "call": "transcript", "arguments": {"nothing": 1}}]
+    serve(full, [json.dumps(a) for a in ask] + ["", "no json"], out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [a["id"] for a in answers] == [1, 2, 3, None]
+    assert answers[0]["answer"]["text"] == "medio alpha."
+    assert [a["answer"].get("code") for a in answers[1:]] == ["invalid_request", "transcript_error", "invalid_request"]
+
+
+def test_audio_checks():
+    audio.check_ready(ID, lambda _: "/bin/ffmpeg")
+    for video, found, code in (("short", "/bin/ffmpeg", "invalid_url"), (ID, None, "audio_download_failed")):
+        with pytest.raises(errors.TranscriptError) as e:
+            audio.check_ready(video, lambda _, found=found: found)
+        assert e.value.code == code
+
+
 def test_error_payloads():
-    assert errors.NoCaptions("m", "v").payload() == {"status": "error", "code": "no_captions", "message": "m", "video_id": "v"}
-    codes = {c.code for c in (errors.TranscriptError, *errors.TranscriptError.__subclasses__())}
-    assert codes == {"transcript_error", "invalid_url", "no_captions", "blocked", "duration_exceeded", "audio_download_failed", "asr_failed", "provider_unavailable"}
+    assert errors.TranscriptError("no_captions", "m", video_id="v").payload() == {"status": "error", "code": "no_captions", "message": "m", "video_id": "v"}
+    assert str(errors.TranscriptError("blocked")) == errors.CODES["blocked"] and len(errors.CODES) == 8
+    with pytest.raises(ValueError):
+        errors.TranscriptError("odd")
     assert TRANSCRIPT_ROW.startswith("video_id")
