@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import re
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only in local runs that name no shared folder, such as tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 _shipped: set[str] = set()
+_scopes: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder, which all executors share; an error on a cluster without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = LOCAL_CHECKPOINTS
+    return f"{root.rstrip('/')}/quillstream"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder path below spark.checkpoint.dir, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{root.rstrip('/')}/quillstream/{what}-{uuid.uuid4().hex[:12]}"
+    """A new folder path in the shared folder, below that of the temporary tables if there are any."""
+    return "/".join([shared_root(spark), *_scopes[-1:], f"{what}-{uuid.uuid4().hex[:12]}"])
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables that are materialised inside are removed at the end: write results elsewhere before."""
+    _scopes.append("/".join([*_scopes[-1:], f"run-{uuid.uuid4().hex[:12]}"]))
+    try:
+        yield
+    finally:
+        remove(spark, f"{shared_root(spark)}/{_scopes.pop()}")
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -74,7 +99,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "quillstream").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    target = shared_dir(spark, "code") + "/quillstream_code.zip"
+    # Not below temporary tables: executors that join later read it too.
+    target = f"{shared_root(spark)}/code-{uuid.uuid4().hex[:12]}/quillstream_code.zip"
     write_bytes(spark, target, packed.getvalue())
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
