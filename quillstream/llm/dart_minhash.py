@@ -32,8 +32,10 @@ links with pointer jumping, written to the shared folder in every round.
 
 Defined results: words are runs of word characters, lower-cased; texts of fewer
 than five words are one shingle; texts without any word are alike only if they
-are equal (null counts as empty); of a class the row with the smallest doc_id
-stays, null last; of repeated rows one stays; other columns travel in a struct.
+are equal (null counts as empty); a very long text is shingled whole, on its own; of a
+class the row with the smallest doc_id stays, null last; of repeated rows one stays; an
+empty table gives no rows; other columns travel in a struct, so that their names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import text_batches
-from .runtime import materialise, settings, shared_dir, ship_package
+from .runtime import Spool, materialise, settings, shared_dir, ship_package
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8
@@ -59,8 +61,6 @@ K = BANDS * ROWS
 SKETCH_LONGS = -(-K // 64)
 #: Most of the K sketch bits that may differ: 6 standard deviations above the mean at similarity 0.8.
 MOST_DIFFERENT = int(K * 0.1 + 6 * (K * 0.09) ** 0.5)
-#: Up to so many row numbers (8 bytes each) are broadcast; beyond, they are joined.
-BROADCAST_ROWS = 1_000_000
 #: A component of so many nodes has chunks of its own; chunks hold about so many characters and nodes at most.
 LARGE = 64
 CHUNK_CHARS = 600_000
@@ -163,7 +163,7 @@ class Shingler:
 
 
 def _signed(documents: DataFrame, text_col: str) -> DataFrame:
-    """documents (loc, rec) with key (of the words), bands and sketch."""
+    """documents (rec) with key (of the words), bands and sketch."""
     kind = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("key binary, bands array<bigint>, sketch array<bigint>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _signed(documents: DataFrame, text_col: str) -> DataFrame:
                     pa.ListArray.from_arrays(offsets(BANDS), pa.array(h.view(np.int64)[some].ravel(), pa.int64())),
                     pa.ListArray.from_arrays(offsets(SKETCH_LONGS), pa.array(sketch[some].ravel(), pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("rec"), *made], ["loc", "rec", "key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("rec"), *made], ["rec", "key", "bands", "sketch"])
 
     return documents.mapInArrow(run, kind)
 
@@ -284,20 +284,15 @@ class NearDuplicates:
         ship_package(spark)
         self.spark, self.columns, self.id_col, self.text_col = spark, docs.columns, id_col, text_col
         rec = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")
-        path = shared_dir(spark, "near-spool")
-        _signed(docs.select(F.monotonically_increasing_id().alias("loc"), rec), text_col).write.option("compression", "zstd").parquet(path)
-        self.spool = spark.read.parquet(path)
-        self.nodes = materialise(self.spool.groupBy("key").agg(F.min(F.struct("loc", "bands", "sketch")).alias("x")).select("key", "x.*"), "near-nodes")
+        self.spool = Spool(spark, _signed(docs.select(rec), text_col), shared_dir(spark, "near-spool"))
+        self.nodes = materialise(self.spool.rows.groupBy("key").agg(F.min(F.struct("loc", "bands", "sketch")).alias("x")).select("key", "x.*"), "near-nodes")
         self.sketches = self.nodes.select(F.col("loc").alias("node"), "sketch")
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """node, text of the nodes in pairs."""
         wanted = pairs.select(F.col("a").alias("loc")).union(pairs.select(F.col("b").alias("loc"))).distinct()
-        wanted = materialise(wanted, "near-wanted")
-        small = wanted.count() <= BROADCAST_ROWS
-        rows = self.spool.select("loc", F.coalesce(F.col(f"rec.`{self.text_col}`"), F.lit("")).alias("text"))
-        found = rows.join(F.broadcast(wanted) if small else wanted, "loc", "left_semi")
-        return materialise(found.withColumnRenamed("loc", "node"), "near-texts")
+        found = self.spool.picked(wanted, "left_semi")
+        return materialise(found.select(F.col("loc").alias("node"), F.coalesce(F.col(f"rec.`{self.text_col}`"), F.lit("")).alias("text")), "near-texts")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar enough."""
@@ -425,7 +420,7 @@ class NearDuplicates:
         labels = self.labels().select(F.col("node").alias("_n"), "label")
         nodes = self.nodes.select(F.col("key").alias("_k"), F.col("loc").alias("node"))
         nodes = nodes.join(labels, F.col("node") == F.col("_n"), "left").select("_k", F.coalesce("label", "node").alias("label"))
-        rows = self.spool.select("loc", F.col(f"rec.`{self.id_col}`").alias("doc_id"), "key")
+        rows = self.spool.rows.select("loc", F.col(f"rec.`{self.id_col}`").alias("doc_id"), "key")
         rows = materialise(rows.join(nodes, F.col("key") == F.col("_k")).select("loc", "doc_id", "label"), "near-rows")
         # null ids last: the flag comes first in the order
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")
@@ -444,9 +439,7 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, **options) -> D
 def representatives(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with docs' columns."""
     run = NearDuplicates(spark, docs, **options)
-    gone = materialise(run.classes().filter(~F.col("kept")).select("loc"), "near-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return run.spool.select("loc", "rec").join(F.broadcast(gone) if small else gone, "loc", "left_anti").select("rec.*")
+    return run.spool.picked(run.classes().filter(~F.col("kept")), "left_anti").select("rec.*")
 
 
 #: Classes by comparing all documents that share a shingle, in DuckDB's SQL.
