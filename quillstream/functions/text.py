@@ -109,8 +109,8 @@ def job_id(video: str | Column, key: str | Column) -> Column:
 
 
 def iso(c: str | Column) -> Column:
-    """A timestamp as UTC text of fixed width, so that text order is time order."""
-    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    """A timestamp as UTC text of fixed width, so that text order is time order; whatever the session's zone is."""
+    return F.concat(F.date_format(F.to_utc_timestamp(col(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def parse_iso(c: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import job_queries, search_queries, store_queries, summary_queries, text_queries  # noqa: F401
+from . import job_queries, search_queries, source_queries, store_queries, summary_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -145,7 +145,7 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN = STRIP.format(t=r"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
-_CUES = f"""cues AS (
+CUES = f"""cues AS (
   SELECT video_id, seg_idx::BIGINT AS n, {_CLEAN} AS clean, text FROM seg
 )"""
 _SECONDS = "(({s}) // 3600 * 3600 + ({s}) // 60 % 60 * 60 + ({s}) % 60)::DOUBLE + (({s}) % 1000) / 1000.0::DOUBLE"
@@ -167,7 +167,7 @@ def vtt_blocks(spark, sf_dir):
 
 @query(
     "vtt_parse",
-    f"""WITH {SEG}, {_CUES} SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY n) - 1)::INTEGER AS seg_idx,
+    f"""WITH {SEG}, {CUES} SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY n) - 1)::INTEGER AS seg_idx,
     {_SECONDS.format(s="n * 2")} AS "start", {_SECONDS.format(s="n * 2 + 2")} AS "end", clean AS text FROM cues WHERE clean <> ''""",
 )
 def vtt_parse(spark, sf_dir):
@@ -259,12 +259,10 @@ def valid_id(spark, sf_dir):
 
 @query(
     "citation_url",
-    """SELECT event_id, 'https://www.youtube.com/watch?v=' || user_id::VARCHAR || '&t=' || trunc(value)::BIGINT::VARCHAR || 's' AS url
-    FROM events WHERE value IS NOT NULL""",
+    "SELECT event_id, 'https://www.youtube.com/watch?v=' || user_id::VARCHAR || '&t=' || trunc(value)::BIGINT::VARCHAR || 's' AS url FROM events",
 )
 def citation_url(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    return events.select("event_id", locators.citation(F.col("user_id").cast("string"), "value").alias("url"))
+    return table(spark, sf_dir, "events").select("event_id", locators.citation(F.col("user_id").cast("string"), "value").alias("url"))
 
 
 @query(
