@@ -255,7 +255,10 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
-            at = close.start() if close else end
+            begin, at = at, close.start() if close else end
+            if tag == "xmp" and not unseen and not page[begin:at].isspace():  # shown as it is written
+                text.append(page[begin:at])
+                path = path or (*(e for e in stack if e.tag not in INLINE or e.words or e.hidden), Element("xmp"))
             if tag in UNSEEN:
                 gt = page.find(">", at)
                 at = end if gt < 0 else gt + 1

@@ -9,15 +9,19 @@ with a seed: menus, headers, notices, adverts, sidebars, forms, reader comments
 and footers around, and inside, articles in many layouts.
 
 Defined results: a null or empty page has empty text and 0 characters; text
-outside of any block-level tag is a block; white space of any kind, no-break
-spaces included, becomes one space; repeated pages give repeated rows. A page is
-handled whole, one at a time, so memory is bounded by the largest page.
+outside of any block-level tag is a block, and is the text of a page that holds
+nothing else; white space of any kind, no-break spaces included, becomes one space;
+repeated pages give repeated rows; of two labellings that are equally likely, the one
+with less text; an empty table gives no rows; only the three columns named are read, so
+that others cannot clash. A page is handled whole, however long, one at a time, so
+memory is bounded by the largest page.
 """
 
 from __future__ import annotations
 
 import functools
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,16 @@ _MAIN_TAGS = ("article", "main")
 _BESIDE_TAGS = ("nav", "header", "footer", "aside", "form", "dialog")
 
 
+# Words of headings over reader comments, in several languages.
+COMMENT_HEADINGS = (
+    "comment comments replies responses discussion kommentar kommentare antworten diskussion commentaire commentaires réponses réactions "
+    "comentario comentarios respuestas opiniones comentário comentários respostas commento commenti risposte reactie reacties opmerkingen "
+    "kommentarer kommentaarit komentarz komentarze komentáře yorum yorumlar комментарий комментарии комментариев коментарі 评论 留言 評論 コメント 댓글"
+)
+_COMMENT_HEADING = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(COMMENT_HEADINGS.split(), key=len, reverse=True))})(?!\w)|评论|留言|評論|コメント|댓글")
+_HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+
+
 @functools.lru_cache(maxsize=20_000)
 def _path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     found: dict[str, None] = {}
@@ -91,6 +105,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     paths = [_path_features(b.path) for b in blocks]
     has_main = any("inside" in p for p in paths)
     named = any("word:main" in p for p in paths)
+    under: tuple[Element, ...] | None = None  # what holds the last heading, if that announces comments
     out = []
     for i, (b, p) in enumerate(zip(blocks, paths, strict=True)):
         n = len(b.text)
@@ -103,6 +118,12 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             f.append("copyright")
         f.append(f"before:{_near(paths[i - 1])}" if i else "first")
         f.append(f"behind:{_near(paths[i + 1])}" if i + 1 < len(paths) else "last")
+        if b.path[-1].tag in _HEADINGS:
+            under = b.path[:-1] if len(b.text) < 60 and _COMMENT_HEADING.search(lowered) else None
+        if under is not None and b.path[: len(under)] == under:
+            f.append("under:comments")
+        if len(blocks) == 1:
+            f.append("alone")
         inside = "inside" in p
         f.append(f"page:{'main' if has_main else 'named' if named else 'plain'}:{'in' if inside or (not has_main and 'word:main' in p) else 'out'}")
         out.append(f)
@@ -259,7 +280,7 @@ class _Writer:
         return f"<{(t := self.r.choice(kinds))}{self.attr('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot', 'adsbygoogle')}>{inner}</{t}>"
 
     def side(self) -> str:
-        inner = self.r.choice([f"<h3>{self.sentence(1, 4)}</h3><ul>" + "".join(f"<li>{x}</li>" for x in self.links(4)) + "</ul>", f"<p>{self.prose()}</p>", f"<div>{self.prose()}</div>"])
+        inner = self.r.choice([f"<h3>{self.sentence(1, 4)}</h3><ul>" + "".join(f"<li>{x}</li>" for x in self.links(4)) + "</ul>", f"<p>{self.prose()}</p>", f"<div>{self.prose()}</div>", self.sentence()])
         return self.r.choice([f"<aside>{inner}</aside>", f"<div{self.attr('sidebar', 'side', 'widget', 'related', 'recommended', 'right-sidebar')}>{inner}</div>", f"<aside{self.attr('sidebar')}>{inner}</aside>"])
 
     def form(self) -> str:
@@ -280,6 +301,11 @@ class _Writer:
             f"<div>{self.prose()}</div>",
         ])
         inner = self.r.choice(["", f"<h3>{self.sentence(1, 3)}</h3>", f"<h2>{self.sentence(1, 3)}</h2>"]) + "".join(one() for _ in range(self.r.randint(1, 5)))
+        if self.r.random() < 0.3:  # told by the heading alone
+            word = self.r.choice(COMMENT_HEADINGS.split())
+            said = self.r.choice([f"{self.r.randint(1, 90)} {word}", word.capitalize(), f"{word.capitalize()} ({self.r.randint(1, 90)})"])
+            plain = "".join(one() for _ in range(self.r.randint(1, 4))).replace(' class="comment"', "")
+            return f"<{(t := self.r.choice(['section', 'div']))}><{(h := self.r.choice(['h2', 'h3', 'h4']))}>{said}</{h}>{plain}</{t}>"
         title = self.r.choice(["", "", "", f"<h3>{self.sentence(1, 3)}</h3>", f"<h2>{self.sentence(1, 3)}</h2>"])
         return title + f"<{(t := self.r.choice(['div', 'section', 'ol']))}{self.attr('comments', 'user-comments', 'commentlist', 'disqus_thread', 'comment-list', 'comments-area', 'discussion', 'responses', 'reader-comments', 'reviews')}>{inner}</{t}>"
 
@@ -316,7 +342,7 @@ class _Writer:
         inner = f"<h1>{self.said(self.sentence(1, 6))}</h1>" if r.random() < 0.8 else ""
         for _ in range(r.choice([1, 1, 2, 4, 8, 20])):
             inner += self.paragraph()
-            if r.random() < 0.1:
+            if r.random() < 0.15:
                 inner += r.choice([self.advert, self.notice, self.form, self.side])()
         if r.random() < 0.1:
             inner += self.comments()
@@ -331,8 +357,29 @@ class _Writer:
             return f"<div{self.attr('content', 'post', 'entry-content', 'article-body', 'story', 'main', 'text', 'main-content', 'post-body')}>{inner}</div>"
         return r.choice([f"<section>{inner}</section>", f"<div>{inner}</div>", inner])
 
+    def table_page(self) -> str:
+        """A page laid out by a table: menus and links in cells beside the article's."""
+        cell = lambda inner: f"<td{self.r.choice(['', ' width=160', ' valign=top'])}>{inner}</td>"
+        menu = cell(self.r.choice([" ", "<br>", " | "]).join(self.links(self.r.randint(2, 7))))
+        story = cell("".join(f"<p>{self.said(self.prose())}</p>" for _ in range(self.r.randint(1, 6))))
+        top = f"<tr><td colspan=2>{self.menu()}</td></tr>" if self.r.random() < 0.3 else ""
+        row = menu + story if self.r.random() < 0.7 else story + menu
+        return f"<html><body><table>{top}<tr>{row}</tr></table></body></html>"
+
+    def bare_page(self) -> str:
+        """Text without block-level tags."""
+        text = [self.prose() for _ in range(self.r.choice([1, 1, 2, 4]))]
+        self.main.add(" ".join(" ".join(text).split()))
+        plain = "<br>\n".join(text).replace("&", "&amp;")
+        return self.r.choice([plain, f"<html><body>{plain}</body></html>", f"<title>{self.word()}</title>{plain}"])
+
     def page(self) -> str:
         r = self.r
+        kind = r.random()
+        if kind < 0.06:
+            return self.table_page()
+        if kind < 0.1:
+            return self.bare_page()
         some = lambda *kinds: "".join(k() for k in kinds if r.random() < 0.45)
         before = some(self.notice, self.top, self.menu, self.advert, self.form, self.side)
         after = some(self.advert, self.side, self.comments, self.form, self.notice, self.bottom)
@@ -344,7 +391,7 @@ class _Writer:
         return f"<!DOCTYPE html><html><head><title>{self.sentence()}</title><style>p{{}}</style></head><body>{middle}</body></html>"
 
 
-def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(count: int = 1000, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Blocks and labels of written pages."""
     out = []
     for k in range(count):
@@ -380,5 +427,3 @@ def extract(spark: SparkSession, pages: DataFrame, model: Crf | None = None) ->
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema)
     return rows.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
-
-

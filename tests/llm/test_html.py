@@ -154,3 +154,32 @@ def test_odd_rows(spark, frame):
     assert len(got) == 4 and sorted(r["n_chars"] for r in got)[:3] == [0, 0, 0]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_crf.extract(spark, frame([], "page_id bigint, url string, html string")).count() == 0
+
+
+#: Pages written by hand in layouts and languages that the training pages don't have, with their main texts.
+FOREIGN = [
+    ("<html><body><table><tr><td><a href=/>Home</a> <a href=/a>About</a></td><td><p>The bridge was closed on Monday after an inspection found cracks.</p><p>It will stay closed until May, the council said.</p></td></tr></table></body></html>",
+     ["The bridge was closed on Monday after an inspection found cracks.", "It will stay closed until May, the council said."]),
+    ("<body><article><h1>Neue Brücke eröffnet</h1><p>Nach drei Jahren Bauzeit ist die Brücke wieder frei.</p><section><h2>3 Kommentare</h2><p>Endlich!</p><p>Viel zu spät, finde ich.</p></section></article></body>",
+     ["Neue Brücke eröffnet", "Nach drei Jahren Bauzeit ist die Brücke wieder frei."]),
+    ("<body><div id=page><ul class=nav><li><a href=1>Accueil</a><li><a href=2>Sport</a></ul><div class=post><h2>Le marché couvert rouvre ses portes</h2><p>Les commerçants ont retrouvé leurs étals samedi matin.<p>La mairie promet une fête en juin.</div><div><h3>Commentaires (2)</h3><div>Bonne nouvelle.</div><div>Enfin !</div></div><div class=footer>© Le Journal</div></div></body>",
+     ["Le marché couvert rouvre ses portes", "Les commerçants ont retrouvé leurs étals samedi matin.", "La mairie promet une fête en juin."]),
+    ("Just some text that somebody saved without any markup.<br>It has a second line.", ["Just some text that somebody saved without any markup. It has a second line."]),
+    ("<main><h1>Cómo podar un olivo</h1><p>Elija un día seco de invierno.</p><ol><li>Retire las ramas secas.</li><li>Abra el centro de la copa.</li></ol><aside>Publicidad: tijeras a mitad de precio</aside><p>Riegue poco después.</p></main><footer>Aviso legal</footer>",
+     ["Cómo podar un olivo", "Elija un día seco de invierno.", "Retire las ramas secas.", "Abra el centro de la copa.", "Riegue poco después."]),
+    ("<body><header><a href=/><svg class=logo/></a><nav><a href=a>News</a><a href=b>Video</a></nav></header><main><article class=story><h1>River levels fall</h1><p>Levels fell by <math><mn>2</mn></math> metres.</p><blockquote>We can breathe again.</blockquote><div class=newsletter><p>Get our letter every week.</p></div><p>More rain is expected.</p></article></main></body>",
+     ["River levels fall", "Levels fell by 2 metres.", "We can breathe again.", "More rain is expected."]),
+]
+
+
+def test_pages_of_other_layouts():
+    model, right, wrong, missed = html_crf.default_model(), 0, 0, 0
+    for page, want in FOREIGN:
+        got = html_crf.main_text(page, model).split("\n\n")
+        right, wrong, missed = right + len(set(got) & set(want)), wrong + len(set(got) - set(want)), missed + len(set(want) - set(got))
+    assert (wrong, missed) == (0, 0), (right, wrong, missed)
+
+
+def test_raw_text():
+    assert texts("<p>a</p><xmp><b>&amp; </b></xmp><p>c") == ["a", "<b>&amp; </b>", "c"]
+    assert texts("<noscript><xmp>no</xmp></noscript><iframe>no</iframe>x") == ["x"]
