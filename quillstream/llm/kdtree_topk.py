@@ -1,27 +1,33 @@
 """Exact top-k inner-product search over sharded KD-trees.
 
-Vectors are dealt by hash over shards of about ``SHARD_ROWS`` rows. Every shard
-builds one KD-tree: median splits on the widest dimension, and a tight bounding
-box around the points of every node. The trees are written to the shared folder.
-
-Queries are cut into blocks of at most ``BLOCK_QUERIES``. Each block visits the
-shards in groups; a task holds one block and one group, and takes the group's
-trees one at a time, carrying each query's kth best score along. In a tree, the
-traversal is best-first: a heap of nodes, ordered by the largest inner product
-that any point in the node's box can have; it ends when that bound is below the
-query's kth score. A first pass over one shard gives every query a kth score to
-start from, which the second pass propagates to all other shards. Bounds that
-equal the kth score are still visited, so ties go to the smaller id.
+Vectors are cut into cells by median splits, learnt from about ``SAMPLE_ROWS`` of them
+(the cells only steer the search; its results are exact whatever they are). A cell of
+more than ``SHARD_ROWS`` rows, of copies perhaps, is dealt by hash into shards. Every
+shard builds one KD-tree: median splits on the widest dimension, and a tight bounding
+box around the points of every node. The trees are written to the shared folder, with
+the boxes of their roots beside them.
+
+Queries of one cell are cut into blocks of about ``BLOCK_QUERIES``. A first pass searches
+one tree of the block's own cell, which gives every query a kth score. Each block is
+then held against the boxes of all shards, in chunks, and only the shards whose box can
+reach the kth score of one of its queries are visited: a task holds one block and a
+group of them, and takes the group's trees one at a time, carrying each query's kth
+best score along. In a tree, the traversal is best-first: a heap of nodes, ordered by
+the largest inner product that any point in the node's box can have; it ends when that
+bound is below the query's kth score. Bounds that equal the kth score are still
+visited, so ties go to the smaller id.
 
 Components are integers, floor(scale * x). While no score can reach 2**53,
 products are taken in float64, where they are exact; beyond, in Python integers,
 and scores outside the range of a 64-bit integer count as its end.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-take no part; neither do null ids. Vectors only meet vectors of their own length.
-Rows that share the query's id are the query's own; if several rows ask with one
-id, the shortest and then smallest vector asks. Fewer candidates than k give
-fewer rows.
+take no part; neither do null ids. Vectors only meet vectors of their own length,
+however long. Rows that share the query's id are the query's own; if several rows ask
+with one id, the shortest and then smallest vector asks; repeated rows of other ids
+score each. Fewer candidates than k give fewer rows; an empty table gives none. Only the
+two columns named, and what says whether a row asks, are read, so that others cannot
+clash.
 """
 
 from __future__ import annotations
@@ -32,17 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import materialise, ship_package
+from .runtime import materialise, settings, ship_package
 
 SHARD_ROWS = 4096
 LEAF_ROWS = 64
 BLOCK_QUERIES = 512
-#: Shards that one task of the second pass visits.
-GROUP_SHARDS = 8
+#: Vectors of one length that the cells are learnt from, about; and cells at most.
+SAMPLE_ROWS, MOST_CELLS = 100_000, 4096
+#: Shards that one task of the second pass visits, and boxes that a block is held against at once.
+GROUP_SHARDS, CHUNK_BOXES = 8, 4096
 _LONG = 2**63 - 1
 
 
@@ -126,11 +135,51 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return np.array([[int(x) for x in r] for r in values], dtype=object)
 
 
+def median_cuts(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and place of the cuts of a complete binary tree, level by level: medians along the widest dimension."""
+    axis, cut = np.zeros(2**depth - 1, np.int32), np.zeros(2**depth - 1)
+    held = {0: points}
+    for node in range(2**depth - 1):
+        own = held.pop(node)
+        if len(own):
+            axis[node] = np.argmax(own.max(axis=0) - own.min(axis=0))
+            cut[node] = np.median(own[:, axis[node]])
+        right = own[:, axis[node]] >= cut[node]
+        held[2 * node + 1], held[2 * node + 2] = own[~right], own[right]
+    return axis, cut
+
+
+def _cells(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with the number of their cell."""
+    depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / SHARD_ROWS)), F.lit(0)), F.lit(MOST_CELLS.bit_length() - 1)).cast("int")
+    some = F.shiftrightunsigned(F.xxhash64(F.lit(3), "id", "v"), 11).cast("double") / 2.0**53 * F.col("n") < SAMPLE_ROWS
+    # Copies count once, so that no vector, however frequent, makes a sample large.
+    sample = rows.join(counts.withColumn("depth", depth).filter("depth > 0"), "dim").filter(some).select("dim", "depth", "v").distinct()
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        axis, cut = median_cuts(np.stack(frame["v"].to_list()).astype(np.float64), int(frame["depth"].iat[0]))
+        return pd.DataFrame({"dim": [frame["dim"].iat[0]], "depth": [frame["depth"].iat[0]], "axis": [axis], "cut": [cut]})
+
+    cuts = materialise(sample.groupBy("dim").applyInPandas(learn, "dim int, depth int, axis array<int>, cut array<double>"), "topk-cuts")
+    first = F.lit(0)
+    below = lambda node, _: node * 2 + 1 + (F.get("v", F.get("axis", node)) >= F.get("cut", node)).cast("int")
+    node = F.aggregate(F.sequence(F.lit(1), F.col("depth")), first, below)
+    cell = F.when(F.col("depth") > 0, node - F.size("axis")).otherwise(0)
+    return rows.join(cuts, "dim", "left").withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("depth", "axis", "cut")
+
+
 def _found(frame: pd.DataFrame, best: list[list[tuple[int, int, int]]]) -> pd.DataFrame:
     hits = [(q, s, -i) for q, heap in zip(frame["qid"], best, strict=True) for s, i, new in heap if new]
     return pd.DataFrame({"qid": [h[0] for h in hits], "vec_id": [h[2] for h in hits], "score": [h[1] for h in hits]}).astype("int64")
 
 
+def reachable(queries: np.ndarray, kth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Numbers of the boxes that can hold a score of at least kth for one of the queries (kth of -inf: any)."""
+    bounds = (queries @ (lo + hi).T + np.abs(queries) @ (hi - lo).T) / 2
+    slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi)).T)
+    return np.flatnonzero((bounds + slack >= kth[:, None]).any(axis=0))
+
+
 def top_k(
     spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -144,24 +193,29 @@ def top_k(
     rows = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & usable & (F.size(vector_col) > 0))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), exact.alias("v"), F.size(vector_col).alias("dim"), is_query.alias("asks"))
     rows = materialise(rows, "topk-vectors")
-    counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).collect()}
-    if not counts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    per_dim = lambda pick: F.element_at(F.create_map(*[F.lit(x) for d, c in counts.items() for x in (d, pick(c))]), F.col("dim"))
-    shards = lambda c: max(1, -(-c[0] // SHARD_ROWS))
-    blocks = lambda c: max(1, -(-(c[1] or 0) // BLOCK_QUERIES))
+    counts = materialise(rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "topk-counts")
+    rows = materialise(_cells(rows, counts), "topk-cells")
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         tree = build_tree(frame["id"].to_numpy(), _matrix(frame["v"]))
-        return pd.DataFrame({"dim": [frame["dim"].iat[0]], "shard": [frame["shard"].iat[0]], "tree": [pickle.dumps(tree, protocol=5)]})
+        box = [tree[c][0].astype(np.float64) for c in ("lo", "hi")]
+        head = {c: [frame[c].iat[0]] for c in ("dim", "cell", "part")}
+        return pd.DataFrame(head | {"lo": [box[0]], "hi": [box[1]], "tree": [pickle.dumps(tree, protocol=5)]})
 
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), per_dim(shards)).cast("int"))
-    trees = materialise(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "topk-trees")
-    asked = rows.filter("asks").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), per_dim(blocks)).cast("int"))
-    asked = asked.select("dim", "block", F.col("id").alias("qid"), "v").withColumn("home", F.pmod(F.col("block"), per_dim(shards)).cast("int"))
+    cells = rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"))
+    parts, blocks = F.ceil(F.col("n") / SHARD_ROWS).cast("int"), F.greatest(F.ceil(F.col("q") / BLOCK_QUERIES), F.lit(1)).cast("int")
+    cells = materialise(cells.select("dim", "cell", parts.alias("parts"), blocks.alias("blocks")), "topk-sizes")
+    placed = rows.join(cells, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    trees = placed.select("dim", "cell", "part", "id", "v").groupBy("dim", "cell", "part")
+    trees = trees.applyInPandas(build, "dim int, cell int, part int, lo array<double>, hi array<double>, tree binary")
+    trees = materialise(trees.withColumn("shard", F.monotonically_increasing_id()), "topk-trees")
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    asked = rows.filter("asks").groupBy("id").agg(F.min(F.struct("dim", "v", "cell")).alias("x")).select(F.col("id").alias("qid"), "x.*")
+    block = F.pmod(F.xxhash64("qid", F.lit(2)), F.col("blocks")).cast("int")
+    asked = materialise(asked.join(cells, ["dim", "cell"]).select("dim", "cell", block.alias("block"), "qid", "v"), "topk-asked")
+    key = ["dim", "cell", "block"]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "vec_id": [], "score": []}).astype("int64")
         left = left.sort_values("qid")
@@ -176,16 +230,35 @@ def top_k(
         return _found(left, best)
 
     kind = "qid bigint, vec_id bigint, score bigint"
-    first = asked.groupBy("dim", "home").cogroup(trees.withColumnRenamed("shard", "home").groupBy("dim", "home")).applyInPandas(search, kind)
-    first = materialise(first, "topk-first")
+    own = materialise(asked.select(*key).distinct().withColumn("part", F.lit(0)), "topk-blocks")
+    home = own.join(trees.select("dim", "cell", "part", "tree"), ["dim", "cell", "part"])
+    # A hash may leave a cell's first shard empty; the block's queries then start without a kth score.
+    first = materialise(asked.groupBy(*key).cogroup(home.groupBy(*key)).applyInPandas(search, kind), "topk-first")
     known = first.groupBy("qid").agg(F.collect_list(F.struct("vec_id", "score")).alias("known"))  # k at most
-    last_group = per_dim(lambda c: (shards(c) - 1) // GROUP_SHARDS)
-    spread = asked.join(known, "qid", "left").withColumn("grp", F.explode(F.sequence(F.lit(0), last_group)))
-    # Every tree but the home tree of a block: block by block, against each group of trees.
-    last_block = per_dim(lambda c: blocks(c) - 1)
-    met = trees.withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
-    met = met.filter(F.col("shard") != F.pmod(F.col("block"), per_dim(shards)))
-    second = spread.groupBy("dim", "block", "grp").cogroup(met.groupBy("dim", "block", "grp")).applyInPandas(search, kind)
+    asked = materialise(asked.join(known, "qid", "left"), "topk-known")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                kth = [min(x["score"] for x in q["known"]) if q["known"] and len(q["known"]) == k else -np.inf for q in r["queries"]]
+                boxes = r["boxes"]
+                arrays = [np.array([x[c] for x in boxes]) for c in ("lo", "hi")]
+                hit = reachable(np.array([q["v"] for q in r["queries"]]), np.array(kth, np.float64), *arrays)
+                shards = pa.array([boxes[i]["shard"] for i in hit if (boxes[i]["cell"], boxes[i]["part"]) != (r["cell"], 0)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c]] * len(shards), pa.int32()) for c in key), shards], [*key, "shard"])
+
+    box = F.struct("shard", "cell", "part", "lo", "hi")
+    chunks = trees.groupBy("dim", F.pmod(F.xxhash64("shard"), F.lit(-(-trees.count() // CHUNK_BOXES) or 1)).alias("chunk")).agg(F.collect_list(box).alias("boxes"))
+    grouped = asked.groupBy(*key).agg(F.collect_list(F.struct("v", "known")).alias("queries"))
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+        pairs = grouped.join(chunks.drop("chunk"), "dim").select(*key, "queries", "boxes")
+        pairs = materialise(pairs.mapInArrow(reach, "dim int, cell int, block int, shard bigint"), "topk-pairs")
+    # Shards of a block in groups; a group carries the kth scores from tree to tree.
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("shard"))
+    pairs = materialise(pairs.withColumn("grp", F.floor((order - 1) / GROUP_SHARDS).cast("int")), "topk-groups")
+    met = pairs.join(trees.select("shard", "tree"), "shard")
+    spread = asked.join(materialise(pairs.select(*key, "grp").distinct(), "topk-visits"), key)
+    second = spread.groupBy(*key, "grp").cogroup(met.groupBy(*key, "grp")).applyInPandas(search, kind)
     every = first.unionByName(second)
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", "vec_id", "score")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstream.llm import bpe, packing
+from quillstream.llm.runtime import tokenizer_path
 
-PATH, RANKS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATH, RANKS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(PATH)
 CODEC = bpe.Codec(bpe.Vocabulary(PATH))
 ODD = list("aab '  \n\t\r.,!1२½éÉßñ日本語stremvd") + ["'s", "'ll", "<|endoftext|>", "<|endoftext", "\x85", "\x1c", "\x0b", " ", "　", "﻿", "́", "²", "Ⅷ", "\U0001d4b3"]

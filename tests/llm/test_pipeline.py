@@ -6,6 +6,7 @@ from oracle import SMALL
 
 import corpus_pipeline
 from quillstream.llm import bpe, dart_minhash, mixing, pu_quality
+from quillstream.llm.runtime import tokenizer_path
 
 
 def test_stages_by_hand(spark, tmp_path):
@@ -31,7 +32,7 @@ def test_stages_by_hand(spark, tmp_path):
     assert {r["doc_id"] for r in near.collect()} == kept
     times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.assignments(spark, near).collect() if r["size"]}
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == collections.Counter({i: n for i, n in times.items() if n})
-    codec = bpe.Codec(bpe.Vocabulary("/opt/tokenizers/byte_bpe_50k.json"))
+    codec = bpe.Codec(bpe.Vocabulary(tokenizer_path("byte_bpe_50k.json")))
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     rows = ids.collect()
     assert len(rows) == mixed.count()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,52 @@ def test_boxes_are_tight():
     for node in range(len(tree["start"])):
         own = tree["points"][tree["start"][node] : tree["stop"][node]]
         assert (own.min(axis=0) == tree["lo"][node]).all() and (own.max(axis=0) == tree["hi"][node]).all()
+
+
+def test_far_shards_are_not_visited(spark, frame, monkeypatch):
+    """Clusters far apart: a block only meets the shards near it, and the results are those of all."""
+    for name, n in (("SHARD_ROWS", 50), ("BLOCK_QUERIES", 10), ("CHUNK_BOXES", 7), ("GROUP_SHARDS", 2)):
+        monkeypatch.setattr(kdtree_topk, name, n)
+    rng = np.random.default_rng(4)
+    centres = np.array(list(itertools.product([-8.0, 8.0], repeat=4)))
+    rows = [(i, [float(np.float32(x)) for x in centres[i // 7 % 16] + rng.normal(0, 0.1, 4)]) for i in range(1600)]
+    visited, shards, plain = [], [], kdtree_topk.materialise
+
+    def noted(df, what):
+        made = plain(df, what)
+        if what == "topk-trees":
+            shards.append(made.count())
+        if what == "topk-pairs":
+            visited.append((made.count(), made.select("dim", "cell", "block").distinct().count()))
+        return made
+
+    monkeypatch.setattr(kdtree_topk, "materialise", noted)
+    assert found(spark, frame, rows) == brute(rows)
+    ((pairs, blocks),) = visited
+    assert pairs < blocks * shards[0] / 4
+
+
+def test_a_very_common_vector(spark, frame, monkeypatch):
+    monkeypatch.setattr(kdtree_topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(kdtree_topk, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, [0.5, 0.25, -0.5] if i % 3 else [float(np.float32(x)) for x in rng.normal(0, 1, 3)]) for i in range(600)]
+    rows += [(i, [0.1 * i]) for i in range(600, 640)] + [(700, [1.0] * 5000), (701, [0.5] * 5000)]
+    assert found(spark, frame, rows) == brute(rows)
+
+
+def test_columns_that_clash(spark, frame):
+    kind = "vec_id bigint, embedding array<float>, id string, v string, dim string, cell string, shard string, part string, n int"
+    df = frame([(i, [float(i), 1.0], "a", "b", "c", "d", "e", "f", 1) for i in range(30)], kind)
+    got = kdtree_topk.top_k(spark, df, F.col("vec_id") % 10 == 0, 3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 9
+
+
+def test_reachable_misses_nothing():
+    rng = np.random.default_rng(8)
+    points = rng.integers(-50, 50, (40, 30, 3))
+    points = points // 5 + rng.integers(-40, 40, (40, 1, 3))
+    queries, kth = rng.integers(-50, 50, (6, 3)).astype(float), rng.integers(2500, 4000, 6).astype(float)
+    hit = set(kdtree_topk.reachable(queries, kth, points.min(axis=1).astype(float), points.max(axis=1).astype(float)))
+    need = {s for s in range(40) if ((queries @ points[s].T) >= kth[:, None]).any()}
+    assert need <= hit and len(hit) < 40
