@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialise
 from ..operators import chunking, search
+from ..operators.segments import normalised
 from ..sources import store
 from .registry import SEG, query, table
 from .text_queries import SPLIT_TEXT, STRIP_TEXT, segments
@@ -156,14 +157,19 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).filter("lang <> 'de'")
 
 
+def indexed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the indexed transcripts: those that are not blank have chunks."""
+    return normalised(segments(spark, sf_dir)).filter("lang <> 'de'")
+
+
 @query("index_present", f"WITH {_INDEXED} SELECT DISTINCT video_id, lang, track_type FROM seg WHERE video_id IN (SELECT video_id FROM idx)")
 def index_present(spark, sf_dir):
-    return search.is_indexed(segments(spark, sf_dir), indexed(spark, sf_dir))
+    return search.is_indexed(segments(spark, sf_dir), indexed_keys(spark, sf_dir))
 
 
 @query("index_missing", f"WITH {_INDEXED} SELECT DISTINCT video_id, lang, track_type FROM seg WHERE video_id NOT IN (SELECT video_id FROM idx)")
 def index_missing(spark, sf_dir):
-    return search.missing(segments(spark, sf_dir), indexed(spark, sf_dir))
+    return search.missing(segments(spark, sf_dir), indexed_keys(spark, sf_dir))
 
 
 @query(
