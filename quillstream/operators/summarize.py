@@ -64,25 +64,34 @@ def sectioned(segments: DataFrame, sections: int = DEFAULT_SECTIONS, key: str =
     Section i covers [i * width, (i + 1) * width); the last one has no upper bound. Bounds are compared as these
     products: a sentence is in the last section whose start it has reached.
     """
+    return _with_sections(segments, sections, key).filter("section_no IS NOT NULL")
+
+
+def _with_sections(segments: DataFrame, sections: int, key: str) -> DataFrame:
+    """sectioned, and the sentences that have reached no section, whose section_no is null."""
     lengths = durations(segments, [key])
     rows = ranked(sentences(segments, key), key).join(lengths, key)
     rows = rows.withColumn("width", F.when(F.col("duration_seconds") > 0, F.col("duration_seconds") / sections).otherwise(0.0))
     reached = F.filter(F.sequence(F.lit(0), F.lit(sections - 1)), lambda i: _section_start(i, F.col("width")) <= F.col("start"))
-    rows = rows.withColumn("section_no", F.array_max(reached)).filter("section_no IS NOT NULL")
+    rows = rows.withColumn("section_no", F.array_max(reached))
     end = F.when(F.col("section_no") == sections - 1, F.col("duration_seconds")).otherwise(_section_start(F.col("section_no") + 1, F.col("width")))
     return rows.withColumn("section_start", _section_start(F.col("section_no"), F.col("width"))).withColumn("section_end", end)
 
 
+def _best_of_sections(rows: DataFrame, per_section: int, key: str) -> DataFrame:
+    """The best rows of each section, with section_index, which counts sections that have any."""
+    inside = Window.partitionBy(key, "section_no").orderBy("rank")
+    rows = rows.withColumn("place", F.row_number().over(inside))
+    numbered = F.dense_rank().over(Window.partitionBy(key).orderBy(F.col("section_no").asc_nulls_last())) - 1
+    return rows.withColumn("section_index", numbered).filter(F.col("place") <= per_section)
+
+
 def section_sentences(
     segments: DataFrame, sections: int = DEFAULT_SECTIONS, per_section: int = DEFAULT_SENTENCES, key: str = "video_id"
 ) -> DataFrame:
     """key, section_index, section_start, section_end, sent_idx, start, text: the best sentences of each section that has any."""
     check_parameters(sections, per_section)
-    inside = Window.partitionBy(key, "section_no").orderBy("rank")
-    rows = sectioned(segments, sections, key)
-    rows = rows.withColumn("place", F.row_number().over(inside))
-    numbered = F.dense_rank().over(Window.partitionBy(key).orderBy("section_no")) - 1
-    rows = rows.withColumn("section_index", numbered).filter(F.col("place") <= per_section)
+    rows = _best_of_sections(sectioned(segments, sections, key), per_section, key)
     return rows.select(key, "section_index", "section_start", "section_end", "sent_idx", "start", "text")
 
 
@@ -98,9 +107,14 @@ def summaries(
     """One row per transcript: section_count, sections[index, start, end, sentences[text, start, url]], overall[text, start, url]."""
     cited = lambda: F.struct("sent_idx", "text", "start", citation(key, "start").alias("url"))
     plain = lambda c: F.transform(F.sort_array(c), lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["url"].alias("url")))
-    parts = section_sentences(segments, sections, per_section, key).groupBy(key, "section_index", "section_start", "section_end")
-    parts = parts.agg(plain(F.collect_list(cited())).alias("sentences"))
+    # The best sentences of the whole are among those of their sections, so that one pass finds both.
+    check_parameters(sections, per_section)
+    rows = _best_of_sections(_with_sections(segments, sections, key), per_section, key)
+    parts = rows.groupBy(key, "section_no", "section_index", "section_start", "section_end").agg(
+        plain(F.collect_list(cited())).alias("sentences"), F.collect_list(F.when(F.col("rank") <= per_section, cited())).alias("top")
+    )
     one = F.struct(F.col("section_index").alias("index"), F.col("section_start").alias("start"), F.col("section_end").alias("end"), "sentences")
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("sections"))
-    best = overall_sentences(segments, per_section, key).groupBy(key).agg(plain(F.collect_list(cited())).alias("overall"))
-    return whole.join(best, key).select(key, F.size("sections").alias("section_count"), "sections", "overall")
+    whole = parts.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("section_no").isNotNull(), one))).alias("sections"), plain(F.flatten(F.collect_list("top"))).alias("overall")
+    )
+    return whole.select(key, F.size("sections").alias("section_count"), "sections", "overall").filter("section_count > 0")
