@@ -52,7 +52,8 @@ class Spool:
 
     def __init__(self, spark: SparkSession, rows: DataFrame, path: str):
         self.spark, self.path = spark, path
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        self.buckets = min(most, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"spool_{uuid.uuid4().hex[:12]}"
         numbered = rows.withColumn("loc", F.monotonically_increasing_id()).withColumn("task", F.shiftright("loc", 33))
         # A task has one bucket, so rows need no sorting by it.
