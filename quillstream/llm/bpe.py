@@ -50,7 +50,7 @@ _ASCII = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]
 _OTHER = regex.compile(r"[\p{No}\p{Nl}\x1c-\x1f]")
 LONG_WORD = 1024
 #: Words that a worker keeps, in two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHED_CHARS = 64
 _NONE = np.iinfo(np.int64).max
 

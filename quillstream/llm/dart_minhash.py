@@ -68,7 +68,7 @@ CHUNK_NODES = 256
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
